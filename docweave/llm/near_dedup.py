@@ -6,9 +6,9 @@ union estimates the Jaccard index and filters; the index of the full sets decide
 
 No group's pairs are enumerated. Of a sketch the commonest values are left out as far as a pair of the
 wanted similarity must still share a rarer one. In a list, every class is first compared with one hub,
-the class whose values are shared most; classes found equal to the hub's component are then one.
-Only pairs of different components are looked at again, and of these only those which their distances
-from the hub allow: Jaccard distance is a metric, so |d(x,hub) - d(y,hub)| <= d(x,y).
+the class whose values are shared most; classes linked with the hub are then one. Lists that still hold
+several components are looked at again with larger sketches of their classes, and a pair is proposed only
+if its components differ and the values that nobody else holds leave room for the wanted similarity.
 
 Shingles are known by 64-bit hashes, sets by 128 bits.
 
@@ -34,6 +34,8 @@ from .order_minhash import BASE, mix
 WORDS = 5
 SIMILAR = 75  # per cent
 KEPT = 64
+#: Of the sketches of classes in lists that hold several components.
+KEPT_MORE = 512
 #: Odds against which a pair just similar enough may fall through the sketches.
 MISS = 1e-9
 #: Shingles of a hub's partners that one group of the exact comparison holds.
@@ -127,18 +129,33 @@ def sketches(docs: DataFrame, kept: int = KEPT, words: int = WORDS) -> DataFrame
 
 
 def union_estimate(pairs: DataFrame, nodes: DataFrame, kept: int) -> DataFrame:
-    """pairs (a, b) with estimate double and the sizes na, nb: of the kept least values of both sketches' union, the share that both hold."""
+    """pairs (a, b) with the sizes na, nb, and of the kept least values of both sketches' union: seen int (how many
+    there are), shared int (how many both hold), whole boolean (they are the whole union: the counts are exact)."""
     side = lambda x: nodes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     # Signed values sort in another order than unsigned ones; flipping the top bit makes the orders one.
     flip = lambda c: F.transform(c, lambda v: v.bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
-    union = F.slice(F.array_sort(F.array_union(flip(F.col("sa")), flip(F.col("sb")))), 1, kept)
-    common_values = F.array_intersect(flip(F.col("sa")), flip(F.col("sb")))
-    estimate = F.size(F.array_intersect(union, common_values)) / F.greatest(F.size(union), F.lit(1))
-    return both.select("a", "b", "na", "nb", estimate.alias("estimate"))
+    both = both.withColumns({"_all": F.array_sort(flip(F.array_union("sa", "sb"))), "_common": flip(F.array_intersect("sa", "sb"))})
+    whole = (F.col("na") <= kept) & (F.col("nb") <= kept)
+    union = F.when(whole, F.col("_all")).otherwise(F.slice("_all", 1, kept))
+    return both.select("a", "b", "na", "nb", F.size(union).alias("seen"), F.size(F.array_intersect(union, "_common")).alias("shared"), whole.alias("whole"))
 
 
-def exact_jaccard(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def inverted(nodes: DataFrame, kept: int, need: int, similar: int) -> DataFrame:
+    """c, n, weight (how often its values are shared), common (how many of its values others hold) and v: of each
+    class's retained values, the rarest ones of which a partner must share one."""
+    values = nodes.select("c", "n", F.explode("sketch").alias("v"))
+    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = values.join(shared, "v").groupBy("c", "n").agg(F.sort_array(F.collect_set(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("weight"))
+    retained = F.least("n", F.lit(kept))
+    must = F.least(F.ceil(F.col("n") * similar / 100), F.lit(need))
+    # Values of one class alone are the rarest and take the first places of those that count.
+    places = retained - must + 1 - (retained - F.size("vs"))
+    lists = held.where(places > 0).select("c", "n", "weight", F.size("vs").alias("common"), F.explode(F.slice("vs", 1, places)).alias("x"))
+    return lists.select("c", "n", "weight", "common", "x.v")
+
+
+def exact_jaccard(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """pairs (a, b) with inter int, both int (sizes of intersection and union of the full sets).
 
     Partners of one a are dealt to groups of bounded size, each with a copy of a's text.
@@ -148,7 +165,6 @@ def exact_jaccard(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: in
     dealt = sizes.join(total, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("total") / GROUP_SHINGLES)).alias("part"))
     wanted = dealt.select("a", "part", F.col("b").alias("c")).unionByName(dealt.select("a", "part", F.col("a").alias("c")).distinct())
     located = wanted.join(nodes.select("c", "rep", "d1", "d2"), "c")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # A doc_id may have several rows; only those with the node's own set count, and one of them is enough.
@@ -166,6 +182,20 @@ def exact_jaccard(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: in
     return located.join(texts, "rep").select("a", "part", "c", "d1", "text").groupBy("a", "part").applyInPandas(compare, "a long, b long, inter int, both int")
 
 
+def larger_sketches(nodes: DataFrame, kept: int, words: int) -> DataFrame:
+    """nodes (c, n, d1, d2, rep, root, text) with sketch; a class may come twice, with a repeated doc_id; rows whose text isn't the node's (of a repeated doc_id) go."""
+    names = nodes.columns
+
+    def run(batches):
+        for batch in common.slices(batches, "text", 2 << 20):
+            sets = shingle_sets(batch.column("text").to_pylist(), words)
+            good = [i for i, (s, d1) in enumerate(zip(sets, batch.column("d1").to_pylist(), strict=True)) if int(s.sum(dtype=np.uint64).astype(np.int64)) == d1]
+            taken = batch.take(pa.array(good, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array([sets[i][:kept].view(np.int64) for i in good], pa.list_(pa.int64()))], [*names, "sketch"])
+
+    return nodes.mapInArrow(run, nodes.withColumn("sketch", F.array(F.lit(0).cast("long"))).schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Of edges (a, b): node and root, its component's least node. Alternating large and small stars until nothing changes."""
     sym = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -198,45 +228,43 @@ def near_groups(docs: DataFrame, similar: int = SIMILAR, kept: int = KEPT, words
     nodes = marks.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"))
     nodes = common.materialise(nodes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
-    # Inverted lists, without values that only one class holds.
-    values = nodes.select("c", "n", F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = values.join(shared, "v").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("weight"))
-    retained = F.least("n", F.lit(kept))
-    must = F.least(F.ceil(F.col("n") * similar / 100), F.lit(need))
-    # The values of df 1 are the rarest and take the first places of those that count.
-    places = retained - must + 1 - (retained - F.size("vs"))
-    lists = held.where(places > 0).select("c", "n", "weight", F.explode(F.slice("vs", 1, places)).alias("x")).select("c", "n", "weight", "x.v")
-    lists = common.materialise(lists, "lists")
+    lists = common.materialise(inverted(nodes, kept, need, similar), "lists")
 
     # Each class against the hub of its lists.
     hubs = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("c")).alias("minus"))).alias("h"), F.count(F.lit(1)).alias("many")).where("many > 1").select("v", (-F.col("h.minus")).alias("a"))
     starred = lists.join(hubs, "v").where("a <> c").select("a", F.col("c").alias("b")).distinct()
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar) & (F.col("estimate") * kept >= F.least(F.lit(need), F.ceil(F.least("na", "nb") * similar / 100)) * 0.999)
-    guessed = common.materialise(union_estimate(starred, nodes, kept).withColumn("fits", fits), "hub-pairs")
-    measured = common.materialise(exact_jaccard(guessed.where("fits").select("a", "b"), nodes, docs, words), "hub-jaccard")
+
+    def may_link(kept: int, need: int):
+        """What the sketches say: sizes, and enough shared values (if they are whole: as many as it takes)."""
+        sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar
+        sampled = F.col("shared") >= F.least(F.lit(need), F.ceil(F.col("seen") * similar / 100))
+        return sizes & F.when(F.col("whole"), F.col("shared") * 100 >= F.col("seen") * similar).otherwise(sampled)
+
+    fits = common.materialise(union_estimate(starred, nodes, kept).where(may_link(kept, need)), "hub-pairs")
+    known = fits.where("whole").select("a", "b")
     linked = F.col("inter") * 100 >= F.col("both") * similar
-    edges = measured.where(linked).select("a", "b")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    edges = known.unionByName(exact_jaccard(fits.where("not whole").select("a", "b"), nodes, texts, words).where(linked).select("a", "b"))
+    edges = common.materialise(edges, "hub-edges")
     roots = common.materialise(components(edges), "roots")
 
-    # Within a list, pairs of different components that their distances from its hub don't rule out.
-    slack = 6 * (0.25 / kept) ** 0.5  # six standard deviations of an estimate
-    distances = guessed.join(measured, ["a", "b"], "left").select(
-        "a",
-        "b",
-        F.coalesce(1 - F.col("inter") / F.col("both"), F.greatest(F.lit(0.0), 1 - F.col("estimate") - slack)).alias("low"),
-        F.coalesce(1 - F.col("inter") / F.col("both"), F.lit(1.0)).alias("high"),
-    )
-    entries = lists.join(hubs, "v").join(roots, F.col("c") == F.col("node"), "left").select("v", "a", "c", "n", F.coalesce("root", "c").alias("root"))
+    # Lists of several components: larger sketches of their classes, fetched with their texts.
+    entries = lists.select("v", "c").join(roots, F.col("c") == F.col("node"), "left").select("v", "c", F.coalesce("root", "c").alias("root"))
     open_lists = entries.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("v")
-    rest = entries.join(open_lists, "v").where("a <> c").join(distances.withColumnRenamed("b", "c"), ["a", "c"]).select("v", "c", "n", "root", "low", "high")
-    rest = common.materialise(rest, "open-lists")
-    x, y = (rest.select("v", *(F.col(k).alias(f"{k}{s}") for k in ("c", "n", "root", "low", "high"))) for s in "xy")
+    opened = entries.join(open_lists, "v", "left_semi").select("c", "root").distinct()
+    opened = nodes.drop("sketch").join(opened, "c").join(texts, "rep")
+    opened = common.materialise(larger_sketches(opened, KEPT_MORE, words), "open-classes")
+    more_need = least_shared(KEPT_MORE, share)
+    again = common.materialise(inverted(opened, KEPT_MORE, more_need, similar).join(opened.select("c", "root").distinct(), "c").select("v", "c", "n", "common", "root"), "open-lists")
+    x, y = (again.select("v", *(F.col(k).alias(f"{k}{s}") for k in ("c", "n", "common", "root"))) for s in "xy")
     allowed = (F.col("cx") < F.col("cy")) & (F.col("rootx") != F.col("rooty")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * similar)
-    near = (F.col("lowx") - F.col("highy") <= 1 - share + 1e-9) & (F.col("lowy") - F.col("highx") <= 1 - share + 1e-9)
-    across = x.join(y, "v").where(allowed & near).select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct()
-    across = union_estimate(across, nodes, kept).where(fits).select("a", "b")
-    more = exact_jaccard(across, nodes, docs, words).where(linked).select("a", "b")
+    # What only one class holds is in no intersection, but in the union.
+    alone = (F.col("nx") - F.col("commonx")) + (F.col("ny") - F.col("commony"))
+    room = (F.greatest("nx", "ny") > KEPT_MORE) | (F.least("commonx", "commony") * 100 >= (alone + F.greatest("commonx", "commony")) * similar)
+    across = x.join(y, "v").where(allowed & room).select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct()
+    across = common.materialise(union_estimate(across, opened, KEPT_MORE).where(may_link(KEPT_MORE, more_need)), "open-pairs")
+    own = opened.select("rep", "text")
+    more = across.where("whole").select("a", "b").unionByName(exact_jaccard(across.where("not whole").select("a", "b"), nodes, own, words).where(linked).select("a", "b"))
     joined = components(edges.unionByName(more))
 
     least = nodes.join(joined, F.col("c") == F.col("node"), "left").select("d1", "d2", "n", "rep", F.coalesce("root", "c").alias("root"))
