@@ -8,7 +8,7 @@ No group's pairs are enumerated. Of a sketch the commonest values are left out a
 wanted similarity must still share a rarer one. In a list, every class is first compared with one hub,
 the class whose values are shared most; classes linked with the hub are then one. Lists that still hold
 several components are looked at again with larger sketches of their classes, and a pair is proposed only
-if its components differ and the values that nobody else holds leave room for the wanted similarity.
+if its components differ and its places in the list leave room for the wanted similarity.
 
 Shingles are known by 64-bit hashes, sets by 128 bits.
 
@@ -142,8 +142,8 @@ def union_estimate(pairs: DataFrame, nodes: DataFrame, kept: int) -> DataFrame:
 
 
 def inverted(nodes: DataFrame, kept: int, need: int, similar: int) -> DataFrame:
-    """c, n, weight (how often its values are shared), common (how many of its values others hold) and v: of each
-    class's retained values, the rarest ones of which a partner must share one."""
+    """c, n, weight (how often its values are shared), common (how many of its values others hold), v and place: of
+    each class's retained values the rarest ones, of which a partner must share one, in order from the rarest."""
     values = nodes.select("c", "n", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     held = values.join(shared, "v").groupBy("c", "n").agg(F.sort_array(F.collect_set(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("weight"))
@@ -151,8 +151,8 @@ def inverted(nodes: DataFrame, kept: int, need: int, similar: int) -> DataFrame:
     must = F.least(F.ceil(F.col("n") * similar / 100), F.lit(need))
     # Values of one class alone are the rarest and take the first places of those that count.
     places = retained - must + 1 - (retained - F.size("vs"))
-    lists = held.where(places > 0).select("c", "n", "weight", F.size("vs").alias("common"), F.explode(F.slice("vs", 1, places)).alias("x"))
-    return lists.select("c", "n", "weight", "common", "x.v")
+    lists = held.where(places > 0).select("c", "n", "weight", F.size("vs").alias("common"), F.posexplode(F.slice("vs", 1, places)).alias("place", "x"))
+    return lists.select("c", "n", "weight", "common", "place", "x.v")
 
 
 def exact_jaccard(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -255,12 +255,15 @@ def near_groups(docs: DataFrame, similar: int = SIMILAR, kept: int = KEPT, words
     opened = nodes.drop("sketch").join(opened, "c").join(texts, "rep")
     opened = common.materialise(larger_sketches(opened, KEPT_MORE, words), "open-classes")
     more_need = least_shared(KEPT_MORE, share)
-    again = common.materialise(inverted(opened, KEPT_MORE, more_need, similar).join(opened.select("c", "root").distinct(), "c").select("v", "c", "n", "common", "root"), "open-lists")
-    x, y = (again.select("v", *(F.col(k).alias(f"{k}{s}") for k in ("c", "n", "common", "root"))) for s in "xy")
+    again = common.materialise(inverted(opened, KEPT_MORE, more_need, similar).join(opened.select("c", "root").distinct(), "c").select("v", "c", "n", "common", "place", "root"), "open-lists")
+    x, y = (again.select("v", *(F.col(k).alias(f"{k}{s}") for k in ("c", "n", "common", "place", "root"))) for s in "xy")
     allowed = (F.col("cx") < F.col("cy")) & (F.col("rootx") != F.col("rooty")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * similar)
-    # What only one class holds is in no intersection, but in the union.
-    alone = (F.col("nx") - F.col("commonx")) + (F.col("ny") - F.col("commony"))
-    room = (F.greatest("nx", "ny") > KEPT_MORE) | (F.least("commonx", "commony") * 100 >= (alone + F.greatest("commonx", "commony")) * similar)
+    # In the list of the rarest value that a pair shares, all it shares stands at that place or later in both; what
+    # one class alone holds is in no intersection but in the union. Sketches that are whole must share as much as the
+    # sizes demand, others what the odds allow.
+    later = F.least(F.col("commonx") - F.col("placex"), F.col("commony") - F.col("placey"))
+    whole = F.greatest("nx", "ny") <= KEPT_MORE
+    room = F.when(whole, later * 100 >= (F.col("nx") + F.col("ny") - later) * similar).otherwise(later >= more_need)
     across = x.join(y, "v").where(allowed & room).select(F.col("cx").alias("a"), F.col("cy").alias("b")).distinct()
     across = common.materialise(union_estimate(across, opened, KEPT_MORE).where(may_link(KEPT_MORE, more_need)), "open-pairs")
     own = opened.select("rep", "text")
