@@ -27,6 +27,8 @@ SLOTS = 64
 TUPLE = 2
 #: A call of fingerprints() sees fewer code points than this, but for a longer single text.
 POSITIONS = 1 << 21
+#: Values that a slot of a long text is expected to get at first; with so many, few texts need a second look.
+ENOUGH = 12
 BASE = np.uint64(0x9E3779B97F4A7C15)
 ROUND1, ROUND2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -41,10 +43,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def kmers(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, text numbers and places of the k-mers of concatenated texts."""
-    c = codes.astype(np.uint64) + np.uint64(1)
-    h = np.zeros(len(c), np.uint64)
-    for j in range(min(k, len(c))):
-        h[: len(c) - j] = h[: len(c) - j] * BASE + c[j:]
+    h = codes.astype(np.uint64) + np.uint64(1)
+    whole, n, base = None, 0, int(BASE)  # whole: hashes of the n code points that follow; h: of a power of two of them
+    width = 1
+    while True:
+        if k & width:
+            if whole is None:
+                whole, n = h.copy(), width
+            else:  # the wider part goes in front
+                m = max(0, len(h) - width)
+                front = h.copy()
+                front[:m] = h[:m] * np.uint64(pow(base, n, 1 << 64)) + whole[width : width + m]
+                whole, n = front, n + width
+        width *= 2
+        if width > k:
+            break
+        m = max(0, len(h) - width // 2)
+        up = h[:m] * np.uint64(pow(base, width // 2, 1 << 64)) + h[width // 2 :][:m]
+        h = np.concatenate([up, h[m:]])
+    h = whole
     count = np.where(sizes >= k, sizes - k + 1, 0)
     owner = np.repeat(np.arange(len(sizes)), count)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
@@ -73,24 +90,39 @@ def fingerprints(texts: list[str], k: int = K, slots: int = SLOTS, tuple_size: i
     hashes, owner, _ = kmers(codes, np.cumsum(sizes) - sizes, sizes, k)
     # Occurrences: sorting hash and place in one number leaves equal k-mers of a text in text order.
     bits = np.uint64(max(1, int(len(hashes) - 1).bit_length()))
-    packed = np.sort((hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64))
-    at = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    value, who = hashes[at], owner[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (value[1:] != value[:-1]) | (who[1:] != who[:-1])
-    index = np.arange(len(at))
-    occurrence = (index - np.maximum.accumulate(np.where(new, index, 0))).astype(np.uint64)
-    order_by = mix(value + occurrence * BASE)
-    slot = who * slots + (order_by % np.uint64(slots)).astype(np.int64)
-    # The least of each slot: by slot, then by hash, in one number.
-    room = np.uint64(64 - 20)  # the same for any number of texts, up to 4096 with 256 slots
-    least = np.argsort((slot.astype(np.uint64) << room) | (order_by >> np.uint64(20)), kind="stable")
-    slot = slot[least]
+    local = hashes + mix(owner.astype(np.uint64) + np.uint64(1))  # equal k-mers of different texts lie apart
+    packed = np.sort((local >> bits << bits) | np.arange(len(hashes), dtype=np.uint64))
+    again = np.flatnonzero((packed[1:] ^ packed[:-1]) >> bits == 0) + 1
+    seeds = hashes
+    if len(again):
+        run = np.ones(len(again), np.int64)  # 1, 2, ... within each run of equal ones
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(again) != 1]))
+        run = np.arange(len(again)) - np.repeat(starts, np.diff(np.append(starts, len(again)))) + 1
+        seeds = hashes.copy()
+        seeds[(packed[again] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] += run.astype(np.uint64) * BASE
+    order_by = mix(seeds)
+    # Of a long text only small values can be among the least of their slot; where they don't fill a slot, all are taken.
+    counts = np.bincount(owner, minlength=len(texts))
+    most = np.full(len(texts), np.iinfo(np.uint64).max, np.uint64)
+    long_ = counts > ENOUGH * slots
+    most[long_] = (ENOUGH * slots / counts[long_] * 2.0**64).astype(np.uint64)
+    value = order_by >> np.uint64(20)  # 44 bits, whatever the number of texts
+    at = np.flatnonzero(value <= (most >> np.uint64(20))[owner]) if long_.any() else np.arange(len(owner))
+    slot = owner[at] * slots + (order_by[at] % np.uint64(slots)).astype(np.int64)
+    filled = np.bincount(slot, minlength=len(texts) * slots).reshape(len(texts), slots)
+    poor = np.flatnonzero(long_ & (filled < tuple_size).any(axis=1))
+    if len(poor):
+        short = np.zeros(len(texts), bool)
+        short[poor] = True
+        at = np.flatnonzero((value <= (most >> np.uint64(20))[owner]) | short[owner])
+        slot = owner[at] * slots + (order_by[at] % np.uint64(slots)).astype(np.int64)
+    # The least of each slot: by slot, then by value, in one number (room for 4096 texts of 256 slots).
+    least = np.argsort((slot.astype(np.uint64) << np.uint64(44)) | value[at], kind="stable")
+    slot, at = slot[least], at[least]
     first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
     rank = np.arange(len(slot)) - np.repeat(first, np.diff(np.append(first, len(slot))))
-    chosen = least[rank < tuple_size]
-    slot = slot[rank < tuple_size]
-    again = np.lexsort((at[chosen], slot))  # text order within the slot
+    chosen, slot = at[rank < tuple_size], slot[rank < tuple_size]
+    again = np.lexsort((chosen, slot))  # text order within the slot
     chosen, slot = chosen[again], slot[again]
     first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
     n = np.diff(np.append(first, len(slot)))
