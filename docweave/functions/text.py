@@ -151,5 +151,6 @@ def cite(page: Column | str, block: Column | str) -> Column:
     return F.concat(F.lit("p"), col(page).cast("string"), F.when(~is_empty(block), F.concat(F.lit(":"), col(block))).otherwise(""))
 
 
-def token_estimate(n_chars: Column | str, images: Column | str = F.lit(0)) -> Column:  # noqa: B008
-    return F.floor(col(n_chars) / 4).cast("long") + col(images) * 300
+def token_estimate(n_chars: Column | str, images: Column | str | None = None) -> Column:
+    tokens = F.floor(col(n_chars) / 4).cast("long")
+    return tokens if images is None else tokens + col(images) * 300

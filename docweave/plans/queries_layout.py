@@ -64,7 +64,7 @@ def page_text(spark, d):
 @query(f"WITH {BLOCKS} SELECT document_id, block_id, '[' || block_id || '|paragraph] ' || text AS line, 'p' || page_number || ':' || block_id AS cite, CAST(length(text) // 4 AS BIGINT) AS tokens FROM blk")
 def block_render(spark, d):
     b = text_blocks(spark, d)
-    return b.select("document_id", "block_id", layout.render(b).alias("line"), X.cite("page_number", "block_id").alias("cite"), X.token_estimate(F.length("text"), F.lit(0)).alias("tokens"))
+    return b.select("document_id", "block_id", layout.render(b).alias("line"), X.cite("page_number", "block_id").alias("cite"), X.token_estimate(F.length("text")).alias("tokens"))
 
 
 @query(f"""WITH {BLOCKS}, l AS (SELECT document_id, page_number, pos, '[' || block_id || '|paragraph] ' || text AS line FROM blk),
