@@ -38,7 +38,7 @@ RATE = 4e-3
 SEED = 7
 UNDETERMINED = "und"
 #: The pipeline rejects what is less certain than this.
-CERTAIN = 0.4
+CERTAIN = 0.3
 
 #: The class of each byte: 0 neither letter nor beyond ASCII, 1-26 letters, then each byte from 0x80.
 CLASS = np.zeros(256, np.int64)
