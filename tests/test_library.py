@@ -342,3 +342,23 @@ def test_extraction_of_a_small_invoice(spark):
     assert out["rows"].count() == 3 and r.pages_read == 2 and r.exit_reason == "all_groups"
     assert {x.status for x in out["attributed"].collect()} == {"exact"}
     assert extract.MOST_ROWS == 200
+
+
+def test_evaluation_and_command_line(spark, tmp_path):
+    from docweave import cli
+    from docweave.operators import prompts
+    from docweave.plans import evaluation
+
+    lines = ["Invoice No: INV-1", "Invoice Date: 2026-01-05", "Remit To: Acme", "1  cup  2  $4.00  $8.00", "Total: $8.00"]
+    block = [(f"b{i}", "table_row" if t[0].isdigit() else "key_value", t, [0.1, i / 10, 0.9, i / 10 + 0.05], 1.0, i, None) for i, t in enumerate(lines)]
+    D.write_json(spark.createDataFrame([("d", None, None, [(1, 100, 200, None, block)])], D.DOCUMENT), f"file://{tmp_path}/docs")
+    blocks = layout.reading_order(D.to_blocks(D.read_documents(spark, f"file://{tmp_path}/docs")))
+    gold = spark.createDataFrame([("d", "invoice_number", "inv-1"), ("d", "invoice_date", "January 5, 2026"), ("d", "vendor_name", "Other"), ("d", "total_amount", "8")], "document_id string, key string, value string")
+    rows = spark.createDataFrame([("d", "line_items", {"line_number": "1", "description": "Cup", "quantity": "2", "unit_price": "4", "amount": "8.00"})], "document_id string, table_name string, cells map<string,string>")
+    out = evaluation.evaluate(blocks, gold, config.PROFILES["accuracy"], rows)
+    assert {r.key: (r.tp, r.fp, r.fn) for r in out["keys"].collect()} == {"invoice_number": (1, 0, 0), "invoice_date": (1, 0, 0), "total_amount": (1, 0, 0), "vendor_name": (0, 1, 1), "line_items": (1, 0, 0)}
+    assert out["rates"].first().schema_valid_rate == 1.0
+    assert cli.main(["extract", f"file://{tmp_path}/docs", "--profile", "accuracy", "--out", f"file://{tmp_path}/out"]) == 0
+    assert cli.main(["schemas"]) == 0
+    p = prompts.build(spark.createDataFrame([("d", 0, "pages")], "document_id string, group_index int, layout string"), schemas.INVOICE, spark.createDataFrame([("d", "x = 1")], "document_id string, carry string")).first().prompt
+    assert "Known so far:\nx = 1" in p and "invoice_number" in p
