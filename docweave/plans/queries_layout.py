@@ -128,9 +128,21 @@ def service_text(spark, d):
     return D.service_blocks(word.unionByName(head)).select("document_id", "text").join(n, "document_id")
 
 
+#: What stands in html without being read, the rest of a tag, and any tag, be it cut off.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+_ATTRIBUTES = r"(?:[\s/](?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)?"
+TAG = rf"(?i)</?[a-z][a-z0-9:-]*+{_ATTRIBUTES}(?:>|\z)|<[!?][^>]*(?:>|\z)"
+_BLOCK = "address|article|aside|blockquote|body|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hgroup|hr|html|li|main|menu|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
+#: A p ends at any block-level tag; an h1 can hold such, it ends at its own end tag, a heading, a p or the end of a section.
+TEXT_BLOCK = rf"(?is)<p{_ATTRIBUTES}>.*?(?=</?(?:{_BLOCK})[\s/>]|\z)|<h1{_ATTRIBUTES}>.*?(?=</?h[1-6][\s/>]|<p[\s/>]|</(?:article|body|html|main|section)[\s/>]|\z)"
+
+
 @query(r"SELECT page_id, len(ps) AS n_blocks, array_to_string(ps, chr(10)) AS text FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<(?:p|h1)>([^<]+)', 1), lambda x: trim(x, ' ')), lambda x: x <> '') AS ps FROM pages)")
 def html_blocks(spark, d):
-    found = F.filter(F.transform(F.regexp_extract_all("html", F.lit("<(?:p|h1)>([^<]+)"), 1), lambda x: F.trim(x)), lambda x: x != "")
+    """Each p and h1 whole: up to its end or the next tag that ends it, without the inline tags. The SQL stops at the first tag within."""
+    html = F.regexp_replace("html", UNSEEN, "")
+    text = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?i)<br\b[^>]*>", " "), TAG, ""))
+    found = F.filter(F.transform(F.regexp_extract_all(html, F.lit(TEXT_BLOCK), 0), text), lambda x: x != "")
     return table(spark, d, "pages").select("page_id", F.size(found).cast("long").alias("n_blocks"), F.array_join(found, "\n").alias("text"))
 
 
