@@ -22,3 +22,36 @@ def test_html_blocks_loses_no_text_of_the_tables(spark, sf_dir):
         inner = pages[r.page_id].partition("<article>")[2].partition("</article>")[0]
         want = html.unescape(re.sub(r"</?(?:p|h1|b)>|<br>", " ", inner))
         assert "".join(want.split()) == "".join(html.unescape(r.text).split())
+
+
+def test_quote_match_tries_every_line_of_every_item(spark, tmp_path):
+    from docweave.operators.attribution import quote_rung
+    from pyspark.sql import functions as F
+
+    items = ["First line of this item.\nA later line, of the item here", "Other passage that is planted somewhere", "über.\nab cd", "日本語の文", "", None, "one two three four five six seven eight nine ten", "Er.\n\n  "]
+    docs = [
+        "x\nso: a LATER  line, of the item here!\nxab cdx", "other passage that is planted elsewhere", "a über. b\n日本語の文。", "ten nine eight seven six five four", "ten nine eight seven six five", None, "", "nothing er. here",
+        "First line of this item.\nother passage that is planted somewhere", "aFirst line of this item.",
+    ]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    i.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["quote_match"](spark, str(tmp_path)).select("document_id", "item_id", "rung").collect()}
+    assert {(0, 0, 3), (0, 2, 3), (1, 1, 4), (2, 2, 3), (2, 3, 3), (3, 6, 4), (8, 0, 3), (8, 1, 3), (9, 0, 3)} == got
+    assert got == brute(d, i, quote_rung, F)
+
+
+def test_quote_match_of_the_tables_by_brute_force(spark, sf_dir):
+    from docweave.operators.attribution import quote_rung
+    from pyspark.sql import functions as F
+
+    got = {tuple(r) for r in catalogue.QUERIES["quote_match"](spark, sf_dir).select("document_id", "item_id", "rung").collect()}
+    d, i = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert got == brute(d, i, quote_rung, F)
+
+
+def brute(docs, items, quote_rung, F):
+    lines, quotes = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("text")), items.select("item_id", F.explode(F.split("text", "\n")).alias("quote"))
+    pairs = lines.crossJoin(quotes).withColumn("rung", quote_rung(F.col("quote"), F.col("text"))).where("rung is not null")
+    return {tuple(r) for r in pairs.groupBy("doc_id", "item_id").agg(F.min("rung")).collect()}
