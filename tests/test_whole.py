@@ -55,3 +55,16 @@ def brute(docs, items, quote_rung, F):
     lines, quotes = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("text")), items.select("item_id", F.explode(F.split("text", "\n")).alias("quote"))
     pairs = lines.crossJoin(quotes).withColumn("rung", quote_rung(F.col("quote"), F.col("text"))).where("rung is not null")
     return {tuple(r) for r in pairs.groupBy("doc_id", "item_id").agg(F.min("rung")).collect()}
+
+
+def test_split_rows_of_an_order_with_many_lines(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    for t in ("orders", "customer"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    key = li.first().l_orderkey
+    many = li.where(F.col("l_orderkey") == key).limit(1).withColumn("l_linenumber", F.explode(F.sequence(F.lit(1), F.lit(450))))
+    many.select(li.columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.QUERIES["split_rows"](spark, str(tmp_path)).collect()
+    assert sorted((r.document_id, r.seq, r.line_number) for r in got) == [(key, n, str(n + 1)) for n in range(450)]
