@@ -3,7 +3,9 @@
 Each page is cut into blocks of text, each with its root-to-block tag path. Per path the lengths of text
 and the punctuation marks are summed and divided by the number of blocks; these two ratios are smoothed over paths that
 lie close together in the tree, fused, and paths above a share of the page's best are content. Paths
-through elements whose role is stated (menus, footers, adverts, forms ...) never count.
+through elements whose role is stated (menus, footers, adverts, forms ...) never count; a role stated by class,
+id or role alone is not believed of what holds an <article> or <main>, or most text of a page without
+them, if that is more than a notice.
 
 Cases: null or empty html gives an empty text; a page that is cut off anywhere is read as far as it goes,
 a tag without its end is dropped; pages are independent, so repeated rows and further columns change
@@ -24,7 +26,8 @@ from . import common
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|[^<]+|<", re.S)
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas select".split())
@@ -35,6 +38,9 @@ ASIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner\w*|breadcrumb\w*|comment\w*|consent|cookie\w*|disqus|footer|foot|header|login|masthead|menu\w*|modal|nav\w*|newsletter|notice\w*|pagination|pager|popup|promo\w*|related|replies|reply|share|sharing|sidebar\w*|side|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|widget\w*|complementary|contentinfo|navigation|search|alert)(?=$|[\s_-])",
     re.I,
 )
+#: Parts of class names that say something of what holds or surrounds an aside; and words that count as a whole name only.
+AROUND = frozenset("has with without no wrap wrapper container layout page body content main".split())
+WHOLE = frozenset(("side", "search"))
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 MAIN = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -42,29 +48,49 @@ CLOSES_P = frozenset("address article aside blockquote details dialog div dl fie
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Halving of a path's influence for each step in the tree, and the share of the best fused ratio that content has.
 SHARE = 0.15
+#: Characters from which on an element can be most of a page.
+SOME_TEXT = 80
 
 
 class Block:
-    __slots__ = ("link", "main", "path", "text")
+    __slots__ = ("link", "main", "named", "path", "text")
 
-    def __init__(self, path: tuple, main: int, text: str, link: int):
-        self.path, self.main, self.text, self.link = path, main, text, link
+    def __init__(self, path: tuple, main: int, text: str, link: int, named: tuple = ()):
+        self.path, self.main, self.text, self.link, self.named = path, main, text, link, named
+
+
+def is_hidden(attributes: str) -> bool:
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if (name == "hidden" and value != "false") or (name == "aria-hidden" and value == "true") or (name == "style" and NOT_SHOWN.search(value)):
+            return True
+    return False
+
+
+def named_aside(words: str) -> bool:
+    """Whether a class, id or role is an aside's; has-sidebar, content-sidebar-wrap, side-by-side or search-results are not."""
+    for name in words.lower().split():
+        parts = re.split("[_-]+", name)
+        if ASIDE_WORDS.search(name) and (len(parts) == 1 or (not AROUND.intersection(parts) and ASIDE_WORDS.search(" ".join(x for x in parts if x not in WHOLE)))):
+            return True
+    return False
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, without those that stand in elements of another role."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, label in paths, aside, number of the article
+    stack: list[tuple[str, str, bool, int, tuple]] = []  # tag, label in paths, aside, number of the article, elements around that are asides by name
     parts: list[str] = []
-    linked = mains = 0
+    linked = mains = names = 0
     path: tuple = ()
+    holds: set[int] = set()  # asides by name that hold an article
 
     def end_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(path, next((m for _, _, _, m in reversed(stack) if m), 0), text, linked))
+                out.append(Block(path, next((s[3] for s in reversed(stack) if s[3]), 0), text, linked, stack[-1][4] if stack else ()))
             parts.clear()
         linked = 0
 
@@ -73,7 +99,7 @@ def blocks(page: str) -> list[Block]:
         if any(t not in INLINE for t, *_ in stack[k:]):
             end_block()
         del stack[k:]
-        path = tuple(label for t, label, _, _ in stack if t not in INLINE)
+        path = tuple(label for t, label, *_ in stack if t not in INLINE)
 
     at, low = 0, None
     while m := TOKEN.match(page, at):
@@ -125,13 +151,31 @@ def blocks(page: str) -> list[Block]:
                 parts.append(" ")
             continue
         words = " ".join(x for w in MARK.findall(m[3]) for x in w if x) if m[3] else ""
-        aside = (bool(stack) and stack[-1][2]) or (tag in ASIDE and not (tag == "header" and any(s[3] for s in stack))) or (tag not in ("html", "body", *MAIN) and bool((words and ASIDE_WORDS.search(words)) or (m[3] and HIDDEN.search(m[3]))))
+        named = stack[-1][4] if stack else ()
+        aside = (bool(stack) and stack[-1][2]) or (tag in ASIDE and not (tag == "header" and any(s[3] for s in stack)))
+        if not aside and tag not in ("html", "body", *MAIN) and m[3]:
+            aside = is_hidden(m[3])
+            if not aside and words and named_aside(words):
+                if tag in INLINE:
+                    aside = True
+                else:
+                    names += 1
+                    named = (*named, names)
         if tag in MAIN and not any(s[3] for s in stack):
             mains += 1
-        stack.append((tag, f"{tag}.{words.split()[0]}" if words else tag, aside, mains if tag in MAIN else 0))
+            if not aside:
+                holds.update(named)
+        stack.append((tag, f"{tag}.{words.split()[0]}" if words else tag, aside, mains if tag in MAIN else 0, named))
         if tag not in INLINE:
-            path = tuple(label for t, label, _, _ in stack if t not in INLINE)
+            path = tuple(label for t, label, *_ in stack if t not in INLINE)
     end_block()
+    if names:
+        total, of = sum(len(b.text) for b in out), dict.fromkeys(range(1, names + 1), 0)
+        for b in out:
+            for k in b.named:
+                of[k] += len(b.text)
+        most = {k for k, n in of.items() if 2 * n > total and n >= SOME_TEXT} if not any(b.main for b in out) else set()
+        out = [b for b in out if holds.union(most).issuperset(b.named)]
     return out
 
 
