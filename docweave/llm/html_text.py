@@ -2,7 +2,9 @@
 
 Each page is cut into blocks of text, each with its root-to-block tag path. Per path the lengths of text
 and the punctuation marks are summed and divided by the number of blocks; these two ratios are smoothed over paths that
-lie close together in the tree, fused, and paths above a share of the page's best are content. Paths
+lie close together in the tree, fused, and paths above a share of the page's best are content. <article> and
+<main> raise the score of what they hold. What shares the container of the best path outside them is content
+too, lists of links apart; sparse text in other containers is not. Paths
 through elements whose role is stated (menus, footers, adverts, forms ...) never count; a role stated by class,
 id or role alone is not believed of what holds an <article> or <main>, or most text of a page without
 them, if that is more than a notice.
@@ -48,6 +50,8 @@ CLOSES_P = frozenset("address article aside blockquote details dialog div dl fie
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Halving of a path's influence for each step in the tree, and the share of the best fused ratio that content has.
 SHARE = 0.15
+#: How much an <article> or <main> raises the score of what it holds: other paths count if they come near it.
+RAISE = 6
 #: Characters from which on an element can be most of a page.
 SOME_TEXT = 80
 
@@ -201,14 +205,17 @@ def select(found: list[Block]) -> list[Block]:
             common_steps += 1
         return 0.5 ** (len(a[1]) + len(b[1]) - 2 * common_steps)
 
-    inside = any(k[0] for k in keys)
     fused = []
     for k in keys:
         weights = [near(k, j) for j in keys]
         length, marks = (max(w * r[i] for w, r in zip(weights, ratio, strict=True)) for i in (0, 1))
-        fused.append((length * marks) ** 0.5 if k[0] or not inside else 0.0)
+        fused.append((length * marks) ** 0.5 * (RAISE if k[0] else 1))
     least = SHARE * max(fused, default=0.0)
     content = {k for k, f in zip(keys, fused, strict=True) if f and f >= least}
+    outside = [(f, k) for k, f in zip(keys, fused, strict=True) if k in content and not k[0]]
+    if outside:  # what stands in one container with the best of them stays: lists, tables, captions; but no lists of links
+        around = max(outside, key=lambda x: x[0])[1][1][:-1]
+        content |= {k for k, s in sums.items() if k[1][: len(around)] == around and 2 * s[3] < s[1]}
     return [b for b in found if (b.main, b.path) in content]
 
 
