@@ -155,6 +155,80 @@ def test_html_nulls_and_clashing_columns(spark):
     assert sorted((r.page_id or 0, r.text) for r in html_text.extract(df).collect()) == [(0, "Hello, you."), (1, ""), (2, "")]
 
 
+def test_html_text_keeps_what_is_only_named_like_an_aside():
+    text = "Some words, and more of them. They go on, and on."
+    for attributes in ('class="overflow-hidden"', 'title="The hidden valley"', 'class="content-sidebar-wrap"', 'class="has-sidebar"', 'class="side-by-side"', 'class="search-results"', 'data-hidden="1"', 'data-style="display:none"'):
+        assert html_text.main_text(f"<body><div class=a><p>{text}</p></div><div {attributes}><p>{text}</p></div></body>") == f"{text}\n{text}", attributes
+        assert html_text.main_text(f"<body><div {attributes}><article><p>{text}</p></article></div></body>") == text, attributes
+    assert html_text.main_text(f'<body><div class="sidebar"><main><p>{text}</p></main></div></body>') == text
+    assert html_text.main_text(f'<body><div class="widget"><p>{text}</p><p>{text}</p></div><p>Short, one.</p></body>').startswith(f"{text}\n{text}")
+    for attributes in ("hidden", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display: none"', 'class="site-footer"', 'class="sidebar"', 'class="box ad-slot"', 'id="side"', "role=search"):
+        assert html_text.main_text(f"<body><article><p>{text}</p><div {attributes}><p>Not, this.</p></div></article></body>") == text, attributes
+
+
+def test_html_text_keeps_lists_and_tables_without_an_article():
+    ps = [f"Long words, and more of them, number {i}. " + "They go on, and on, and on without an end " * 5 + "here." for i in range(10)]
+    inner = "".join(f"<p>{p}</p>" for p in ps)
+    more = "<ul><li>an item of a list without marks in it</li></ul><table><tr><td>a cell</td></tr></table><figure><figcaption>a caption</figcaption></figure>"
+    links = "<div><ul><li><a href=x>next page</a></li></ul></div>"
+    want = [*ps, "an item of a list without marks in it", "a cell", "a caption"]
+    assert html_text.main_text(f"<body><div class=content>{inner}{more}</div>{links}</body>").split("\n") == want
+    got = html_text.main_text(f"<body><div class=content>{inner}{more}</div><article class=teaser><p>See this, too.</p></article>{links}</body>").split("\n")
+    assert [x for x in got if x != "See this, too."] == want
+    assert html_text.main_text(f"<body><article>{inner}{more}</article><div><p>Small print, only.</p></div>{links}</body>").split("\n") == want
+
+
+def test_html_blank_attributes_and_odd_tags():
+    text = "Some words, and more of them. They go on, and on."
+    for tag in ('<div class=" ">', "<div class>", '<div id="  " role=>', "<div class='' id=\"\">", "<div a=b'c>", "<div =x / y='>'>"):
+        page = f"<body>{tag}<p>{text}</p></div></body>"
+        assert html_text.main_text(page) == text, tag
+        for i in range(len(page)):
+            html_text.main_text(page[:i])
+
+
+def test_html_ratios_alone_find_the_article(spark, sf_dir):
+    """Without any role, name or <article>: nearly all articles that are longer than a notice come out alike."""
+    longer = wrong = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        want = html_text.main_text(r.html)
+        if len(want) >= 800:
+            plain = r.html.replace("<article>", "<div class=q7>").replace("</article>", "</div>").replace('class="ad"', "class=x")
+            longer += 1
+            wrong += not (html_text.main_text(r.html, roles=False) == html_text.main_text(plain, roles=False) == want)
+    assert longer and wrong <= 0.05 * longer
+
+
+def test_html_templates_of_odd_names():
+    ps = [f"Long words, and more of them, number {i}. " + "They go on, and on, and on without an end " * 4 + "here." for i in range(8)]
+    links = "<div class=k1><ul>" + "".join(f"<li><a href=/{i}>Somewhere else {i}, perhaps.</a></li>" for i in range(60)) + "</ul></div>"
+    foot = "<div class=k9><span>Some firm, 2020.</span></div>"
+    inner = "<h1>A head</h1>" + "".join(f"<p>{p}</p>" for p in ps) + "<p>Short, one.</p><ul><li>an item</li></ul>"
+    want = ["A head", *ps, "Short, one.", "an item"]
+    for body in (f"{links}<div class=zq><div class=inner>{inner}</div></div>{foot}", f"<table><tr><td>{links}</td><td>{inner}</td></tr></table>{foot}", "".join(f"<section class=s{i}>{x}</section>" for i, x in enumerate([links, inner, foot]))):
+        assert html_text.main_text(f"<html><body>{body}</body></html>").split("\n") == want
+    comments = "<article class=comment><p>I think so, too. It is great, really!</p></article>" * 9
+    assert html_text.main_text(f"<body><article>{inner}{comments}</article></body>").split("\n") == want
+    assert html_text.main_text(f"<body><article>{inner}<section id=comments>{comments}</section></article></body>").split("\n") == want
+
+
+def test_html_work_grows_with_the_page():
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        pages = ["<body>" + "".join(f'<p id="p{i}" class=c{i}>Words, number {i}.</p>' for i in range(n)), "<div>" * n + "x, y." + "</div>" * n, "<b>" * n + "<p>x</i>" * n]
+        began = time.perf_counter()
+        found = [html_text.main_text(p) for p in pages]
+        took.append(time.perf_counter() - began)
+        assert found[0].count("\n") == n - 1 and found[1] == "x, y."
+    assert took[1] < 5 and took[1] < 40 * took[0]
+
+
+def test_html_of_no_rows(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string, url string")).collect() == []
+
+
 # --- Order MinHash
 
 
