@@ -68,30 +68,3 @@ def test_split_rows_of_an_order_with_many_lines(spark, sf_dir, tmp_path):
     many.select(li.columns).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = catalogue.QUERIES["split_rows"](spark, str(tmp_path)).collect()
     assert sorted((r.document_id, r.seq, r.line_number) for r in got) == [(key, n, str(n + 1)) for n in range(450)]
-
-
-def test_html_text_keeps_what_is_only_named_like_an_aside():
-    from docweave.llm.html_text import main_text
-
-    text = "Some words, and more of them. They go on, and on."
-    for attributes in ('class="overflow-hidden"', 'title="The hidden valley"', 'class="content-sidebar-wrap"', 'class="has-sidebar"', 'class="side-by-side"', 'class="search-results"', 'data-hidden="1"', 'data-style="display:none"'):
-        assert main_text(f"<body><div class=a><p>{text}</p></div><div {attributes}><p>{text}</p></div></body>") == f"{text}\n{text}", attributes
-        assert main_text(f"<body><div {attributes}><article><p>{text}</p></article></div></body>") == text, attributes
-    assert main_text(f'<body><div class="sidebar"><main><p>{text}</p></main></div></body>') == text
-    assert main_text(f'<body><div class="widget"><p>{text}</p><p>{text}</p></div><p>Short, one.</p></body>').startswith(f"{text}\n{text}")
-    for attributes in ("hidden", 'hidden=""', 'aria-hidden="true"', 'style="color:red; display: none"', 'class="site-footer"', 'class="sidebar"', 'class="box ad-slot"', 'id="side"', "role=search"):
-        assert main_text(f"<body><article><p>{text}</p><div {attributes}><p>Not, this.</p></div></article></body>") == text, attributes
-
-
-def test_html_text_keeps_lists_and_tables_without_an_article():
-    from docweave.llm.html_text import main_text
-
-    ps = [f"Long words, and more of them, number {i}. " + "They go on, and on, and on without an end " * 5 + "here." for i in range(10)]
-    inner = "".join(f"<p>{p}</p>" for p in ps)
-    more = "<ul><li>an item of a list without marks in it</li></ul><table><tr><td>a cell</td></tr></table><figure><figcaption>a caption</figcaption></figure>"
-    links = "<div><ul><li><a href=x>next page</a></li></ul></div>"
-    want = [*ps, "an item of a list without marks in it", "a cell", "a caption"]
-    assert main_text(f"<body><div class=content>{inner}{more}</div>{links}</body>").split("\n") == want
-    got = main_text(f"<body><div class=content>{inner}{more}</div><article class=teaser><p>See this, too.</p></article>{links}</body>").split("\n")
-    assert [x for x in got if x != "See this, too."] == want
-    assert main_text(f"<body><article>{inner}{more}</article><div><p>Small print, only.</p></div>{links}</body>").split("\n") == want
