@@ -13,13 +13,24 @@ FALLBACK_SHARED = "file:///tmp/checkpoints/docweave"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, our own, if driver and executors are one process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or FALLBACK_SHARED).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver ends, if not before."""
+    path = f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex}"
+    fs, there = _hadoop(spark, path)
+    fs.deleteOnExit(there)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -33,10 +44,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Deletes a table of materialise() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._docweave_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, there = _hadoop(df.sparkSession, df._docweave_path)
+    fs.delete(there, True)
+
+
+class Tables:
+    """Writes tables by materialise() and knows which, so that they can go when the last one is made."""
+
+    def __init__(self):
+        self.written: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.written.append(materialise(df, name))
+        return self.written[-1]
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """df as a table of its own, without the tables that it was made from."""
+        out = materialise(df, "result")
+        for t in self.written:
+            release(t)
+        return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

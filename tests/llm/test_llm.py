@@ -315,12 +315,15 @@ def brute_groups(rows):
     return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
 
 
-def test_near_groups_by_brute_force(spark):
-    rng = random.Random(8)
-    rows, base = [], [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(120)]
+@pytest.mark.parametrize(("few", "edits", "words"), [(16, 9, 120), (0, 9, 120), (4, 14, 300), (0, 40, 900)])
+def test_near_groups_by_brute_force(spark, monkeypatch, few, edits, words):
+    """few: up to so many entries lists are looked at pair by pair; with 0 all go by their differences from the hub."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    rng = random.Random(8 + few + edits)
+    rows, base = [], [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(words)]
     for _ in range(90):  # a large group with all degrees of likeness, chains included
         w = list(base)
-        for _ in range(rng.randint(0, 9)):
+        for _ in range(rng.randint(0, edits)):
             w[rng.randrange(len(w))] = rng.choice(WORDS)
         rows.append(" ".join(w))
         base = w if rng.random() < 0.3 else base
@@ -348,6 +351,22 @@ def test_near_groups_of_nothing(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in blank) == [(1, 0, 1, True), (2, 0, 2, True), (2, 0, 2, True), (3, 1, 3, True)]
 
 
+def test_near_groups_cases(spark):
+    rng = random.Random(5)
+    a, b = prose(rng, 90), prose(rng, 30_000)
+    near = " ".join([*a.split()[:-2], "xx", "yy"])
+    rows = [(None, a, 1, "k"), (9, near, 2, "k"), (None, a, 3, None), (4, b, 4, "k"), (5, b + " zz", 5, "k"), (4, b, 6, "k"), (4, prose(rng, 50), 7, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, c int, kept string")
+    got = near_dedup.near_groups(df).collect()
+    assert len(got) == len(rows)
+    # A row without doc_id links but names nothing; a repeated doc_id has a result for each of its texts.
+    found = sorted(((r.doc_id or 0), len(shingles(a)) if r.n_shingles == len(shingles(a)) else r.n_shingles, r.component_id, r.kept) for r in got)
+    n = len(shingles(a))
+    long_ = len(shingles(b))
+    assert [f for f in found if f[0] in (0, 9)] == [(0, n, 9, False), (0, n, 9, False), (9, n, 9, True)]
+    assert [f for f in found if f[0] in (4, 5)] == sorted([(4, long_, 4, True)] * 2 + [(4, len(shingles(rows[6][1])), 4, True), (5, long_ + 1, 4, False)])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(300, 299), (299, 300), (7, 7)]
     got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
