@@ -33,8 +33,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the least doc_id stays."""
-    drop = near_dedup.near_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(drop, "doc_id", "left_anti").select(COLUMNS)
+    drop = near_dedup.near_groups(docs).where("not kept").select("doc_id", "text_hash").distinct()
+    return docs.select(COLUMNS).withColumn("text_hash", F.xxhash64("text")).join(drop, ["doc_id", "text_hash"], "left_anti").select(COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
