@@ -8,8 +8,9 @@ gets it without decoding or copying.
 
 Cases: a null text counts as empty, its document is the end id alone; an empty table gives no files and
 no rows; rows of equal doc_id stand in order of their texts, null doc_ids first; further columns are
-not written. Files are written under a name of their own attempt and then renamed, so a task that is
-run again replaces what it left.
+not written. Files are written under a name of their own attempt and then renamed; a task that is run again
+writes the same files under the same names, since the texts of a range come in one order and files end
+where their ids do.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ SEQUENCE = 2048
 ROWS = 128
 #: A file is closed at the first document after so many ids.
 FILE_IDS = 32 << 20
+#: Of each of a worker's two tables of remembered words.
+MEMO_BYTES = 112 << 20
 #: White space for str.split() but not for the tokenizer.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -49,8 +53,8 @@ class WordCodec:
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.dtype = np.uint16 if max(self.bpe.size, *self.special.values()) <= 0x10000 else np.uint32
-        self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.memo, self.pieces = bpe.Memo(MEMO_BYTES), bpe.Memo(MEMO_BYTES)
+        self.code = "H" if self.dtype is np.uint16 else "I"
 
     @staticmethod
     def normal(text: str) -> str:
@@ -76,19 +80,16 @@ class WordCodec:
             else:
                 parts.append([self.split(t)])
         pieces = self.pieces
-        if len(pieces) > bpe.MEMO_WORDS:
-            pieces.clear()
-        unseen = dict.fromkeys(w for row in parts for p in row if isinstance(p, list) for w in p if w not in pieces)
-        split = {w: self.words.findall(w) for w in unseen}
-        if len(self.memo) > bpe.MEMO_WORDS:
-            self.memo.clear()
-        new = [w for w in dict.fromkeys(x for ws in split.values() for x in ws) if w not in self.memo]
+        # Of letters alone, a piece is one word.
+        split = {w: [w] if w.isalpha() else self.words.findall(w) for w in pieces.unknown([p for row in parts for p in row if isinstance(p, list)])}
+        new = list(self.memo.unknown(split.values()))
         for w, ids in zip(new, self.bpe.encode_words([w.encode() + self.bpe.end for w in new]), strict=True):
-            self.memo[w] = np.array(ids, self.dtype).tobytes()
-        memo = self.memo
+            self.memo.ids[w] = array(self.code, ids).tobytes()
+        known = self.memo.ids.__getitem__
         for w, ws in split.items():
-            pieces[w] = b"".join([memo[x] for x in ws])
-        return [b"".join([b"".join([pieces[w] for w in p]) if isinstance(p, list) else self.dtype(p).tobytes() for p in row]) for row in parts]
+            pieces.ids[w] = known(w) if len(ws) == 1 else b"".join(map(known, ws))
+        known = pieces.ids.__getitem__
+        return [b"".join([b"".join(map(known, p)) if isinstance(p, list) else self.dtype(p).tobytes() for p in row]) for row in parts]
 
 
 _codecs: dict[int, WordCodec] = {}
@@ -98,6 +99,7 @@ def codec(content: bytes) -> WordCodec:
     key = hash(content)
     if key not in _codecs:
         _codecs[key] = WordCodec(json.loads(content))
+        bpe.rest_collector()
     return _codecs[key]
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import itertools
+import json
 import random
 import re
 import zlib
@@ -68,16 +69,26 @@ def test_compatible_pairs_are_those_that_merge_to_themselves():
 
 
 def test_long_and_short_exact_merging_agree():
-    codec = bpe.codec(bpe.read_file(BYTE)).bpe
     rng = random.Random(2)
-    for n in (5, 20, 47):
-        word = "".join(rng.choice("aeinst") for _ in range(n)).encode()
-        short = codec.exact(word)
-        limit, bpe.SHORT = bpe.SHORT, 0
-        try:
-            assert codec.exact(word) == short
-        finally:
-            bpe.SHORT = limit
+    for codec, end in ((bpe.codec(bpe.read_file(BYTE)).bpe, b""), (token_files.codec(bpe.read_file(WORD)).bpe, bpe.END)):
+        words = ["".join(rng.choice("aeinstréß ") for _ in range(rng.choice([1, 2, 3, 5, 8, 20, 30, 47, 60, 300]))).encode() + end for _ in range(400)]
+        assert codec.exact_many(words) == [codec.exact(w) for w in words]
+        assert codec.exact_many([]) == []
+        assert codec.encode_words(words) == codec.exact_many(words)
+        for word, found in zip(words, codec.propose(words), strict=True):
+            assert not found or b"".join(codec.bytes[i] for i in found) == word
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    rng = random.Random(6)
+    c, library = bpe.TextCodec(json.loads(bpe.read_file(BYTE))), Tokenizer.from_file(BYTE)
+    library.no_truncation()
+    for _ in range(20):
+        texts = [prose(rng, 40) + "".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(3)]
+        got = [np.frombuffer(b, np.int32).tolist() for b in c.encode_batch(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert c.memo.held < 100_000 and c.spaced.held < 100_000
 
 
 # --- token files
