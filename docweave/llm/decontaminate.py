@@ -1,15 +1,20 @@
 """Benchmark decontamination by winnowing, in DataFrame functions alone.
 
-Every span of WINDOW words has the least hash of its GRAM-word grams as fingerprint. Equal spans have
-equal fingerprints, so joining those of texts and items misses no shared span of WINDOW words or more.
-A fingerprint that is found is extended to its whole span, and the spans' words are compared. The words
-of matching spans are merged per document. Items shorter than WINDOW are one span of their own length.
-
-The items' side of the join is broadcast only if it has few rows (they are counted first).
-
-Cases: null and wordless texts have no words and no hits; null and wordless items match nothing; items
-that repeat an item_id count together; documents are known by doc_id and the hash of their text, rows
-alike in both get one result each; further columns stay outside.
+The GRAM-word grams of a text are hashed. Of the grams in each span of WINDOW words the least hash is kept, with
+its place; most neighbouring spans keep the same one, so about half of the places are left. Equal spans keep
+equal hashes, so joining those of texts and items misses no shared span of WINDOW words or more. A hash that is
+found is extended to the spans that kept it, and the spans' words are compared. The words of matching spans are
+merged per document. Items shorter than WINDOW are one span of their own length.
+
+The items' side of the join is broadcast only if it has few rows (they are counted first); then texts are read
+once and stay where they are. Otherwise hashes and places alone are shuffled, and only texts with a hit are
+fetched again. Each distinct length below WINDOW among the items costs one more pass.
+
+Cases: null and wordless texts have no words and no hits; null and wordless items match nothing; an empty table
+of items gives no hits, an empty table of documents no rows; items that repeat an item_id count together; equal
+least hashes in one span are all kept; documents are known by doc_id and the hash of their text, rows alike in
+both get one result each; very long texts are cut into places, a row for each, of bounded size where they are
+shuffled; further columns stay outside.
 """
 
 from __future__ import annotations
@@ -31,18 +36,41 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(common.ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, " "), " "), "")
 
 
-def span_hash(array: str, at: Column, size: int) -> Column:
-    """The fingerprint of the span of that size that begins at place `at` (from 0)."""
-    w = [F.get(F.col(array), at + i) for i in range(size)]
+def gram_hash(array: str, at: Column, size: int) -> Column:
+    return F.xxhash64(*(F.get(F.col(array), at + i) for i in range(size)))
+
+
+def span_hash(array: str, size: int) -> Column:
+    """The least gram hash of an array that is one span."""
     gram = min(GRAM, size)
-    grams = [F.xxhash64(*w[i : i + gram]) for i in range(size - gram + 1)]
+    grams = [gram_hash(array, F.lit(i), gram) for i in range(size - gram + 1)]
     return F.least(*grams) if len(grams) > 1 else grams[0]
 
 
-def spans(rows: DataFrame, size: int) -> DataFrame:
-    """Explodes rows (with array w) to the places (at) of spans of that size; none where there are too few words."""
-    last = F.size("w") - size
-    return rows.where(F.size("w") >= size).withColumn("at", F.explode(F.sequence(F.lit(0), last)))
+def winnowed(rows: DataFrame, size: int, whole: bool = False) -> DataFrame:
+    """Of rows with the array w: mark, the least gram hash of some span of that size, once for each of its places, and
+    starts array<int>, the spans (from 0) that keep it there. whole: each row comes once more, with starts [-1] and no mark."""
+    gram = min(GRAM, size)
+    more, last, p = size - gram, F.size("w") - gram, F.col("_p")
+    first = -1 if whole else 0
+    placed = rows if whole else rows.where(F.size("w") >= size)
+    end = F.when(F.size("w") >= size, last).otherwise(-1) if whole else last
+    placed = placed.withColumn("_p", F.explode(F.sequence(F.lit(first), end)))
+    # Hashes of the grams around; beyond the text they are not looked at.
+    near = {j: gram_hash("w", p + j, gram) for j in range(-more, more + 1)}
+    placed = placed.select("*", *(near[j].alias(f"_g{j + more}") for j in near))
+    own = F.col(f"_g{more}")
+    keeps = []
+    for back in range(more + 1):  # the span that begins so many places before
+        others = [F.col(f"_g{j + more}") for j in range(-back, more - back + 1) if j]
+        fits = (p - back >= 0) & (p - back + more <= last)
+        for o in others:
+            fits = fits & (own <= o)
+        keeps.append(F.when(fits, p - back))
+    starts = F.array_compact(F.array(*keeps))
+    if whole:
+        starts = F.when(p < 0, F.array(F.lit(-1))).otherwise(starts)
+    return placed.select(*rows.columns, F.when(p >= 0, own).alias("mark"), starts.alias("starts")).where(F.size("starts") > 0)
 
 
 def span_text(at: Column, size: int) -> Column:
@@ -64,22 +92,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     few = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+    found = None
     for size in sorted({window, *counts}, reverse=True):
         n = counts.get(size, 0)
         mine = known.where(F.col("size") == size)
-        marks = mine.select(F.split("span", " ").alias("w")).select(span_hash("w", F.lit(0), size).alias("mark")).distinct()
-        if size == window:
-            # One pass gives every document's row (place -1) and its candidates.
-            places = base.withColumn("at", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.size("w") - size))))
-            places = places.withColumn("mark", F.when(F.col("at") >= 0, span_hash("w", F.col("at"), size)))
-            hit = places.join(few(marks.withColumn("is_known", F.lit(True)), n), "mark", "left").where("at = -1 or is_known")
-            hit = hit.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), "at", F.when(F.col("at") >= 0, span_text(F.col("at"), size)).alias("span"))
-            found = hit.join(few(mine, n), "span", "left").where("at = -1 or size is not null").select("doc_id", "text_hash", "n_words", "at", "size", "items")
+        marks = mine.select(F.split("span", " ").alias("w")).select(span_hash("w", size).alias("mark")).distinct()
+        every = size == window  # this pass also gives every document's row (at -1)
+        if n <= BROADCAST_ROWS:
+            places = winnowed(base, size, whole=every)
+            hit = places.join(F.broadcast(marks.withColumn("is_known", F.lit(True))), "mark", "left").where("mark is null or is_known")
+            hit = hit.withColumn("at", F.explode("starts"))
         else:
-            places = spans(base, size).withColumn("mark", span_hash("w", F.col("at"), size))
-            hit = places.join(few(marks, n), "mark", "left_semi").select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), "at", span_text(F.col("at"), size).alias("span"))
-            short = hit.join(few(mine, n), "span").select("doc_id", "text_hash", "n_words", "at", "size", "items")
-            found = found.unionByName(short)
+            key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ("doc_id", "text_hash")]
+            places = winnowed(base, size).select("doc_id", "text_hash", "mark", "starts").join(marks, "mark", "left_semi")
+            places = places.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
+            hit = base.join(places, key, "left" if every else "inner")
+            at = F.concat(F.array(F.lit(-1)), F.coalesce("starts", F.array().cast("array<int>"))) if every else F.col("starts")
+            hit = hit.withColumn("at", F.explode(at))
+        hit = hit.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), "at", F.when(F.col("at") >= 0, span_text(F.col("at"), size)).alias("span"))
+        now = hit.join(few(mine, n), "span", "left").where("at = -1 or size is not null").select("doc_id", "text_hash", "n_words", "at", "size", "items")
+        found = found.unionByName(now) if found is not None else now
     return merged(found)
 
 
