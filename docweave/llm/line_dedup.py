@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 3
+#: Of windows in more than 1/HOT of all places there can be at most HOT.
+HOT = 500
 
 
 def _places(docs: DataFrame, text: str, window: int) -> DataFrame:
@@ -29,6 +31,14 @@ def _places(docs: DataFrame, text: str, window: int) -> DataFrame:
     return at.where(~blank).select("doc_id", "text_hash", "at", F.xxhash64(*line).alias("h1"), F.xxhash64(F.lit(window), *line).alias("h2"))
 
 
+def _join_hot(places: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
+    """places with what repeated says of their window. Windows that hold more than 1/HOT of all places, at most HOT, go by
+    broadcast: their places stay where they are."""
+    hot = F.broadcast(repeated.where(F.col("many") * HOT > total))
+    rare = places.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(repeated.where(F.col("many") * HOT <= total), ["h1", "h2"])
+    return rare.unionByName(places.join(hot, ["h1", "h2"]))
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the text that is left, n_lines long (before) and n_removed long.
 
@@ -37,15 +47,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", window: int = WINDOW) -> Da
     docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
     places = _places(docs, text, window)
+    total = places.count()
     place = F.struct("doc_id", "text_hash", "at")
     repeated = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    later = places.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    later = _join_hot(places, repeated, total).where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("at").alias("_at"))
     key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
     joined = docs.join(gone, key, "left")
     lines = F.split(F.col(text), "\n")
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda a: F.sequence(a, a + window - 1))))
-    left = F.filter(F.transform(F.arrays_zip(lines.alias("l"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i")), lambda x: F.when(~F.array_contains("_covered", x["i"]), x["l"])), lambda x: x.isNotNull())
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_covered"))
+    left = F.transform(stay, lambda i: F.get(lines, i))
     out = joined.withColumn("_covered", covered)
     done: Column = F.when(F.col("_at").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     out = out.withColumns({
