@@ -37,8 +37,9 @@ BATCH = 128
 RATE = 4e-3
 SEED = 7
 UNDETERMINED = "und"
-#: The pipeline rejects what is less certain than this.
-CERTAIN = 0.3
+#: The pipeline rejects what is less certain than this: where the best language is less likely than all others together.
+#: Of 2499 held-out documents (sf0.1) 5 lie below, 4 of them (repeats of one word, a line of names) are taken for another language.
+CERTAIN = 0.5
 
 #: The class of each byte: 0 neither letter nor beyond ASCII, 1-26 letters, then each byte from 0x80.
 CLASS = np.zeros(256, np.int64)

@@ -404,7 +404,10 @@ def brute_hits(docs, items, window=10):
     return sorted(out, key=str)
 
 
-def test_contamination_by_brute_force(spark):
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_ROWS, 0])
+def test_contamination_by_brute_force(spark, monkeypatch, most):
+    """With 0 nothing is broadcast: hashes are shuffled, texts with hits fetched again."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
     rng = random.Random(9)
     items = [(i, prose(rng, rng.choice([1, 3, 9, 10, 11, 30]))) for i in range(14)] + [(50, None), (51, "!!"), (52, "same same same same same same same same same same same same"), (3, "a second text of item three that is long enough to count")]
     docs = [(i, t) for i, t in enumerate(ODD)]
@@ -420,6 +423,32 @@ def test_contamination_by_brute_force(spark):
     assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got], key=str) == brute_hits(docs, items)
 
 
+def test_winnowing_keeps_few_places_and_every_span(spark):
+    rng = random.Random(1)
+    w = [rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(4000)]
+    rows = decontaminate.winnowed(spark.createDataFrame([(w,)], "w array<string>"), 10).collect()
+    assert len(rows) < 0.55 * (len(w) - 7)
+    assert sorted({s for r in rows for s in r.starts}) == list(range(len(w) - 9))
+
+
+def test_contamination_of_very_long_texts_without_broadcast(spark, monkeypatch):
+    import time
+
+    rng = random.Random(2)
+    words = [rng.choice(WORDS) + str(i) for i in range(500)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(6000)), "x", 1) for i in range(8)], "doc_id long, text string, items string, at int")
+    quotes = [(r.doc_id, " ".join(r.text.split()[2000:2040])) for r in docs.collect()]
+    items = spark.createDataFrame(quotes, "item_id long, text string")
+    took = []
+    for most in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+        began = time.perf_counter()
+        got = decontaminate.contamination(docs, items).collect()
+        took.append(time.perf_counter() - began)
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == [(i, 6000, 40, [str(i)]) for i in range(8)]
+    assert took[1] < 2 * took[0] + 2
+
+
 def test_contamination_without_items_or_docs(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate.contamination(docs, none).collect()} == {0}
@@ -456,6 +485,18 @@ def test_line_dedup_by_brute_force(spark):
     assert {r["_x"] for r in got} == {"x"}
 
 
+def test_line_dedup_of_long_texts_and_of_nothing(spark):
+    import time
+
+    one = "\n".join(f"line {i}" for i in range(64_000))
+    df = spark.createDataFrame([(1, one), (2, one + "\nlast"), (3, "x\ny\nz\n" * 3000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(df).collect()}
+    assert got[1] == (64_000, 0, one) and got[2] == (64_001, 64_000, "last") and got[3][2].count("x") == 1
+    assert time.perf_counter() - began < 25
+    assert line_dedup.dedup_lines(df.limit(0)).collect() == []
+
+
 def test_line_dedup_of_repeated_rows(spark):
     row = (1, "a\nb\nc")
     got = line_dedup.dedup_lines(spark.createDataFrame([row, row, (2, "a\nb\nc\nd"), (None, None)], "doc_id long, text string")).collect()
