@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing, in DataFrame functions alone.
 
 The GRAM-word grams of a text are hashed. Of the grams in each span of WINDOW words the least hash is kept, with
-its place; most neighbouring spans keep the same one, so about half of the places are left. Equal spans keep
+its place; neighbouring spans often keep the same one, so about half of the places are left. Equal spans keep
 equal hashes, so joining those of texts and items misses no shared span of WINDOW words or more. A hash that is
 found is extended to the spans that kept it, and the spans' words are compared. The words of matching spans are
 merged per document. Items shorter than WINDOW are one span of their own length.
@@ -48,29 +48,29 @@ def span_hash(array: str, size: int) -> Column:
 
 
 def winnowed(rows: DataFrame, size: int, whole: bool = False) -> DataFrame:
-    """Of rows with the array w: mark, the least gram hash of some span of that size, once for each of its places, and
-    starts array<int>, the spans (from 0) that keep it there. whole: each row comes once more, with starts [-1] and no mark."""
-    gram = min(GRAM, size)
-    more, last, p = size - gram, F.size("w") - gram, F.col("_p")
-    first = -1 if whole else 0
-    placed = rows if whole else rows.where(F.size("w") >= size)
-    end = F.when(F.size("w") >= size, last).otherwise(-1) if whole else last
-    placed = placed.withColumn("_p", F.explode(F.sequence(F.lit(first), end)))
-    # Hashes of the grams around; beyond the text they are not looked at.
-    near = {j: gram_hash("w", p + j, gram) for j in range(-more, more + 1)}
-    placed = placed.select("*", *(near[j].alias(f"_g{j + more}") for j in near))
-    own = F.col(f"_g{more}")
-    keeps = []
-    for back in range(more + 1):  # the span that begins so many places before
-        others = [F.col(f"_g{j + more}") for j in range(-back, more - back + 1) if j]
-        fits = (p - back >= 0) & (p - back + more <= last)
-        for o in others:
-            fits = fits & (own <= o)
-        keeps.append(F.when(fits, p - back))
-    starts = F.array_compact(F.array(*keeps))
+    """Of rows with the array w: at (from 0), every place where a span of that size begins, and mark, its least gram hash,
+    null where the span keeps the same gram as the one before. whole: each row comes once more, with at -1 and no mark.
+
+    A gram is kept by no more spans than it has room in, so what kept it begins at `at` or up to size - GRAM later.
+    """
+    gram, at = min(GRAM, size), F.col("at")
+    last = F.size("w") - size
     if whole:
-        starts = F.when(p < 0, F.array(F.lit(-1))).otherwise(starts)
-    return placed.select(*rows.columns, F.when(p >= 0, own).alias("mark"), starts.alias("starts")).where(F.size("starts") > 0)
+        placed = rows.withColumn("at", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), last))))
+    else:
+        placed = rows.where(F.size("w") >= size).withColumn("at", F.explode(F.sequence(F.lit(0), last)))
+    grams = [gram_hash("w", at + j, gram) for j in range(-1, size - gram + 1)]
+    own = F.least(*grams[1:]) if len(grams) > 2 else grams[1]
+    keep = at >= 0
+    if len(grams) > 2:  # another gram than before, or the one that has just come in (the same words can stand there again)
+        keep = keep & ((at == 0) | (own != F.least(*grams[:-1])) | (own == grams[-1]))
+    return placed.withColumn("mark", F.when(keep, own))
+
+
+def kept_by(size: int) -> Column:
+    """The spans that may have kept the gram that was new at `at`; -1 stays alone."""
+    end = F.least(F.col("at") + (size - min(GRAM, size)), F.size("w") - size)
+    return F.sequence(F.col("at"), F.when(F.col("at") < 0, F.col("at")).otherwise(end))
 
 
 def span_text(at: Column, size: int) -> Column:
@@ -100,15 +100,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         every = size == window  # this pass also gives every document's row (at -1)
         if n <= BROADCAST_ROWS:
             places = winnowed(base, size, whole=every)
-            hit = places.join(F.broadcast(marks.withColumn("is_known", F.lit(True))), "mark", "left").where("mark is null or is_known")
-            hit = hit.withColumn("at", F.explode("starts"))
+            hit = places.join(F.broadcast(marks.withColumn("is_known", F.lit(True))), "mark", "left").where("at = -1 or is_known")
+            hit = hit.withColumn("at", F.explode(kept_by(size)))
         else:
             key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ("doc_id", "text_hash")]
-            places = winnowed(base, size).select("doc_id", "text_hash", "mark", "starts").join(marks, "mark", "left_semi")
-            places = places.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
+            places = winnowed(base, size).drop("w").join(marks, "mark", "left_semi")
+            places = places.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).agg(F.collect_set("at").alias("starts"))
             hit = base.join(places, key, "left" if every else "inner")
             at = F.concat(F.array(F.lit(-1)), F.coalesce("starts", F.array().cast("array<int>"))) if every else F.col("starts")
-            hit = hit.withColumn("at", F.explode(at))
+            hit = hit.withColumn("at", F.explode(at)).withColumn("at", F.explode(kept_by(size)))
         hit = hit.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), "at", F.when(F.col("at") >= 0, span_text(F.col("at"), size)).alias("span"))
         now = hit.join(few(mine, n), "span", "left").where("at = -1 or size is not null").select("doc_id", "text_hash", "n_words", "at", "size", "items")
         found = found.unionByName(now) if found is not None else now

@@ -426,9 +426,11 @@ def test_contamination_by_brute_force(spark, monkeypatch, most):
 def test_winnowing_keeps_few_places_and_every_span(spark):
     rng = random.Random(1)
     w = [rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(4000)]
-    rows = decontaminate.winnowed(spark.createDataFrame([(w,)], "w array<string>"), 10).collect()
-    assert len(rows) < 0.55 * (len(w) - 7)
-    assert sorted({s for r in rows for s in r.starts}) == list(range(len(w) - 9))
+    df = decontaminate.winnowed(spark.createDataFrame([(w,), (["same"] * 30,)], "w array<string>"), 10).where("mark is not null")
+    rows = df.select("w", "at", decontaminate.kept_by(10).alias("spans")).collect()
+    assert len(rows) < 0.55 * (len(w) - 7) + 30
+    for x in (w, ["same"] * 30):
+        assert {s for r in rows if r.w == x for s in r.spans} == set(range(len(x) - 9))
 
 
 def test_contamination_of_very_long_texts_without_broadcast(spark, monkeypatch):
