@@ -324,6 +324,8 @@ _codecs: dict[int, TextCodec] = {}
 
 def codec(content: bytes) -> TextCodec:
     """One codec for each vocabulary and worker process."""
+    common.make_room("bpe")
+    common.keeps("bpe", _codecs.clear)
     key = hash(content)
     if key not in _codecs:
         _codecs[key] = TextCodec(json.loads(content))

@@ -66,6 +66,22 @@ class Tables:
         return out
 
 
+#: By operator, what empties the tables that it keeps in a worker process.
+_kept: dict = {}
+
+
+def keeps(name: str, clear) -> None:
+    _kept[name] = clear
+
+
+def make_room(name: str = "") -> None:
+    """Called in a worker where an operator begins: what other operators keep there goes, workers serve one after another."""
+    for other, clear in list(_kept.items()):
+        if other != name:
+            clear()
+            del _kept[other]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -186,6 +186,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     schema = docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
 
     def run(batches):
+        common.make_room()
         for batch in common.slices(batches, "text", 1 << 20):
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "lang_score"])

@@ -133,6 +133,7 @@ def sketches(docs: DataFrame, kept: int = KEPT, words: int = WORDS) -> DataFrame
     """doc_id, text_hash, size int (bytes of the text), n int, d1 and d2 long (what the set is known by), sketch array<long> (the kept least, by unsigned value)."""
 
     def run(batches):
+        common.make_room()
         for batch in common.slices(batches, "text", 2 << 20):
             sets = shingle_sets(batch.column(2).to_pylist(), words)
             n = np.array([len(s) for s in sets], np.int32)
@@ -278,6 +279,7 @@ def larger_sketches(nodes: DataFrame, kept: int, words: int) -> DataFrame:
     names = nodes.columns
 
     def run(batches):
+        common.make_room()
         for batch in common.slices(batches, "text", 2 << 20):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s[:kept].view(np.int64) for s in sets], pa.list_(pa.int64()))], [*names, "sketch"])

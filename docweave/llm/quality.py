@@ -184,6 +184,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
+        common.make_room()
         for batch in common.slices(batches, "text"):
             x = np.stack([statistics(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x))], [*batch.schema.names, "score"])

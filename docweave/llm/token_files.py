@@ -96,6 +96,8 @@ _codecs: dict[int, WordCodec] = {}
 
 
 def codec(content: bytes) -> WordCodec:
+    common.make_room("words")
+    common.keeps("words", _codecs.clear)
     key = hash(content)
     if key not in _codecs:
         _codecs[key] = WordCodec(json.loads(content))
