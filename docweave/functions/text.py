@@ -19,8 +19,8 @@ VALUE_PATTERNS = {
 SYMBOLED = r"(-?[$€£¥]\s?[\d,]+(?:\.\d{2})?)"
 #: What a typed text must look like as a whole (fixed values).
 WHOLE_PATTERNS = {
-    "date": [r"^\d{4}-\d{2}-\d{2}$", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2} \w{3,9} \d{4}$"],
-    "currency": [r"^-?[$€£¥]?\s?[\d,]+(\.\d{1,2})?$"],
+    "date": [r"^\d{4}-\d{2}-\d{2}$", r"^\d{2}/\d{2}/\d{4}$", r"^\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}$"],
+    "currency": [r"^-?[$€£¥]?\s?[\d,]+(?:\.\d{1,2})?$"],
 }
 #: Date formats in the order in which they are tried: month first before day first.
 DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy")

@@ -40,7 +40,7 @@ def sample_empty(groups: DataFrame, targets: DataFrame, share: float = 0.1, seed
 
 def split(documents: DataFrame, validation: float = 0.1, seed: int = 0) -> DataFrame:
     """documents with part ('train' or 'validation'), the same for all rows of a document."""
-    share = F.pmod(F.crc32(F.concat_ws(":", F.lit(str(seed)), F.col("document_id").cast("string")).cast("binary")), F.lit(1000)) / 1000
+    share = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("document_id").cast("string"))), 1, 8), 16, 10).cast("long") / (1 << 32)
     return documents.withColumn("part", F.when(share < validation, "validation").otherwise("train"))
 
 

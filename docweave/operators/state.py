@@ -57,14 +57,18 @@ def merge_lists(observations: DataFrame, limit: int | None = None) -> DataFrame:
     return out.select(*FIELD, F.col("i.value").alias("items"), "confidence", "source_visit")
 
 
-def dedupe_rows(rows: DataFrame, owner: list[str], key: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row of each key within its owner; rows whose keys are all null are never repeats, blank rows go.
+#: Columns of a row that say where it stands, not what it holds.
+ABOUT_ROWS = frozenset("visit seq group_index page_number row_index table_name block_id confidence evidence".split())
 
-    With map-side pre-aggregation where all columns are order columns this is a plain first-by-order.
-    """
+
+def dedupe_rows(rows: DataFrame, owner: list[str], key: list[str], order: list[str | Column], cells: list[str] | None = None) -> DataFrame:
+    """The first row of each key within its owner; rows whose keys are all null are never repeats; rows whose cells
+    (by default all columns but the owner's and ABOUT_ROWS) are all null or '' go."""
+    cells = cells or [c for c in rows.columns if c not in owner and c not in ABOUT_ROWS]
+    blank = reduce(lambda a, b: a & b, (X.is_empty(F.col(c).cast("string")) for c in cells))
     r = F.row_number().over(Window.partitionBy(*owner, *key).orderBy(*order))
     keyless = reduce(lambda a, b: a & b, (F.col(k).isNull() for k in key))
-    return rows.withColumn("_r", r).withColumn("_n", keyless).where("_r = 1 or _n").drop("_r", "_n")
+    return rows.where(~blank).withColumn("_r", r).withColumn("_n", keyless).where("_r = 1 or _n").drop("_r", "_n")
 
 
 def missing(owners: DataFrame, required: DataFrame, filled: DataFrame) -> DataFrame:

@@ -258,7 +258,7 @@ def chat_turns(spark, d):
     return out.select("conv_id", F.size("messages").cast("long").alias("n_turns"), F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("rendered"))
 
 
-@query()
+@query("SELECT part, CAST(count(*) AS BIGINT) AS documents FROM (SELECT CASE WHEN CAST('0x' || substr(md5('0:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296 < 0.2 THEN 'validation' ELSE 'train' END AS part FROM documents) GROUP BY 1")
 def split_by_document(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
     return dataset.split(docs, 0.2).groupBy("part").agg(F.count(F.lit(1)).alias("documents"))

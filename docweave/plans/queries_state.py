@@ -104,16 +104,12 @@ def claim_merge(spark, d):
     return x.groupBy("document_id").agg(F.max(F.round("found_confidence", 4)).alias("verified"), F.count(F.when(F.col("status") != "unverified", 1)).alias("n_evidence"))
 
 
-BLOCK_QUOTES = r"""WITH b AS (SELECT doc_id, n // 5 + 1 AS page_number, n % 5 AS pos, line FROM (SELECT doc_id, unnest(range(0, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
-i AS (SELECT item_id, string_split(text, chr(10))[1] AS quote, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS m FROM benchmark),
-c AS (SELECT doc_id, item_id, quote FROM documents JOIN i ON doc_id % m = k),"""
-
-
-@query(BLOCK_QUOTES + f""" h AS (SELECT c.doc_id, c.item_id, page_number, pos, {_NORM.format('line')} AS bt, {_NORM.format('quote')} AS qt, {_WORDS.format('quote')} AS qw, {_WORDS.format('line')} AS bw FROM c JOIN b USING (doc_id)),
-r AS (SELECT *, CASE WHEN length(qt) >= 4 AND contains(bt, qt) THEN 3 WHEN length(qt) >= 4 AND len(qw) >= 3 AND len(list_intersect(qw, bw)) / len(qw) >= 0.7 THEN 4 END AS rung FROM h)
+@query(f"""WITH b AS (SELECT DISTINCT doc_id, line, {_NORM.format('line')} AS bt, {_WORDS.format('line')} AS bw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+q AS (SELECT DISTINCT item_id, quote, {_NORM.format('quote')} AS qt, {_WORDS.format('quote')} AS qw FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS quote FROM benchmark)),
+r AS (SELECT doc_id, item_id, CASE WHEN contains(bt, qt) THEN 3 WHEN len(qw) >= 3 AND len(list_intersect(qw, bw)) / len(qw) >= 0.7 THEN 4 END AS rung FROM b JOIN q ON length(qt) >= 4)
 SELECT doc_id AS document_id, item_id, min(rung) AS rung FROM r WHERE rung IS NOT NULL GROUP BY ALL""")
 def quote_match(spark, d):
-    """Each document is tried for every line of every benchmark item. The SQL tries the first line of one item only."""
+    """Each document is tried for every line of every benchmark item."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     quotes = items.select("item_id", F.explode(F.split("text", "\n")).alias("quote"))
     lines = docs.select(F.col("doc_id").alias("document_id"), F.explode(F.split("text", "\n")).alias("text"))
@@ -153,6 +149,16 @@ def list_merge(spark, d):
     return state.merge_lists(observations(spark, d)).select("document_id", "key", F.array_join("items", ",").alias("items"), "confidence", F.col("source_visit").cast("long").alias("source_visit"))
 
 
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 25 THEN l_returnflag ELSE '' END AS description, CASE WHEN l_quantity >= 25 THEN l_extendedprice END AS amount FROM lineitem)
+SELECT l_orderkey AS document_id, CAST(count(*) AS BIGINT) AS n_rows FROM (SELECT DISTINCT l_orderkey, description, amount FROM r WHERE description <> '' OR amount IS NOT NULL) GROUP BY 1""")
+def blank_rows(spark, d):
+    """Rows of which some hold nothing: those go before repeats do."""
+    full = F.col("l_quantity") >= 25
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("seq"), F.when(full, F.col("l_returnflag")).otherwise("").alias("description"), F.when(full, F.col("l_extendedprice")).alias("amount"))
+    kept = state.dedupe_rows(rows, ["l_orderkey"], ["description", "amount"], ["seq"])
+    return kept.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(f"WITH {STEPS}, w AS (SELECT *, max(visit) FILTER (WHERE changed) OVER (PARTITION BY document_id, key) AS wv FROM c), v AS (SELECT *, max(CASE WHEN visit = wv THEN value END) OVER (PARTITION BY document_id, key) AS won FROM w) SELECT document_id, key, CAST(count(*) AS BIGINT) AS n_evidence FROM v WHERE visit >= wv AND value = won GROUP BY ALL")
 def evidence_merge(spark, d):
     x = observations(spark, d).withColumn("evidence", F.array(F.concat(F.lit("v"), F.col("visit").cast("string"))))

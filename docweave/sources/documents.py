@@ -95,8 +95,19 @@ def infer_role(text: Column, y0: Column, y1: Column, default: str = "paragraph")
     )
 
 
-#: What service block types mean here.
-SERVICE_ROLES = {"LAYOUT_TITLE": "title", "LAYOUT_SECTION_HEADER": "heading", "LAYOUT_TEXT": "paragraph", "LAYOUT_LIST": "paragraph", "LAYOUT_TABLE": "table", "LAYOUT_KEY_VALUE": "key_value", "LAYOUT_HEADER": "page_header", "LAYOUT_FOOTER": "page_footer", "LAYOUT_FIGURE": "figure", "LAYOUT_PAGE_NUMBER": "page_footer"}
+#: What service block types mean here (fixed values).
+SERVICE_ROLES = {
+    "LAYOUT_TITLE": "title",
+    "LAYOUT_SECTION_HEADER": "heading",
+    "LAYOUT_HEADER": "page_header",
+    "LAYOUT_FOOTER": "page_footer",
+    "LAYOUT_TEXT": "paragraph",
+    "LAYOUT_TABLE": "table",
+    "LAYOUT_KEY_VALUE": "key_value",
+    "LAYOUT_FIGURE": "figure",
+    "TABLE": "table",
+    "CELL": "table_row",
+}
 SERVICE_PAGES = 500
 
 

@@ -27,7 +27,7 @@ def values(spark, column, inputs):
         ("integer", {"1,204": "1204", " 7 ": "7", "7.5": None, "x": None}),
         ("number", {"1,204.5": "1204.5", "3": "3.0", "abc": None}),
         ("boolean", {"Yes": "true", "1": "true", "n": "false", "perhaps": None}),
-        ("date", {"2026-01-05": "2026-01-05", "1/5/2026": "1/5/2026", "5 Jan 2026": "5 Jan 2026", "next week": None}),
+        ("date", {"2026-01-05": "2026-01-05", "1/5/2026": None, "01/05/2026": "01/05/2026", "5  Jan 2026": "5  Jan 2026", "next week": None}),
         ("currency", {"$1,204.50": "$1,204.50", "-3": "-3", "12 EUR": None}),
         ("enum", {"usd": "USD", "yen": None}),
     ],
@@ -182,8 +182,9 @@ def test_fields_that_continue_take_equal_confidence(spark):
 
 
 def test_rows_without_keys_are_never_repeats(spark):
-    df = spark.createDataFrame([(1, None, None, 1), (1, None, None, 2), (1, "a", None, 3), (1, "a", None, 4)], "d long, k1 string, k2 string, seq long")
-    assert sorted(r.seq for r in state.dedupe_rows(df, ["d"], ["k1", "k2"], ["seq"]).collect()) == [1, 2, 3]
+    rows = [(1, None, None, "x", 1), (1, None, None, "x", 2), (1, "a", None, "y", 3), (1, "a", None, "y", 4), (1, None, "", None, 5), (1, None, None, "", 6)]
+    df = spark.createDataFrame(rows, "d long, k1 string, k2 string, v string, seq long")
+    assert sorted(r.seq for r in state.dedupe_rows(df, ["d"], ["k1", "k2"], ["seq"]).collect()) == [1, 2, 3]  # blank rows go
 
 
 def test_exit_rules_in_order(spark):
@@ -306,6 +307,29 @@ def test_envelope(text, fields, error):
     assert (got["fields"], got["error"]) == (fields, error)
 
 
+@pytest.mark.parametrize(
+    ("text", "repairs", "currency"),
+    [
+        ('{"fields": {"currency": "USD"}}', [], "USD"),
+        ('so: {"fields": {"currency": "USD",},} and more', ["trailing text dropped", "trailing commas removed"], "USD"),
+        ('{fields: {currency: "USD"', ["truncated object closed", "bare keys quoted"], "USD"),
+        ("{'fields': {'currency': None}}", ["single quotes replaced", "literals replaced"], None),
+        ('{"fields": {"currency": -Infinity}}', ["literals replaced"], None),
+        ('{"fields": {"currency": "US', ["truncated object closed"], "US"),
+        ('{"fields": {"currency": "a } \\" {", }}', ["trailing commas removed"], 'a } " {'),
+    ],
+)
+def test_envelope_repairs(text, repairs, currency):
+    got = envelope.parse(text, {"currency"}, set())
+    assert (got["repairs"], got["fields"], got["error"]) == (repairs, {"currency": currency}, None)
+
+
+@pytest.mark.parametrize("text", ["{'a': \"b\"}", '{"a" 1}', '{"a": }', '{"a": [1,, 2]}', '{"a": "b"', "{a", '{"fields": {"x": [1', '{"a": 1 "b": 2}'])
+def test_envelope_never_raises(text):
+    for i in range(len(text) + 1):
+        envelope.parse(text[:i], {"currency"}, set())
+
+
 def test_envelope_claims_and_rows():
     text = '{"fields": {}, "evidence": {"currency": ["p1b2", "a longer quote here", {"block_id": "x", "confidence": 0.5}]}, "tables": {"line_items": [{"values": {"amount": 1}, "page": 2}, {"amount": 3}], "other": []}, "open_tables": ["line_items", "other"]}'
     got = envelope.parse(text, {"currency"}, {"line_items"})
