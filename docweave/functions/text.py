@@ -116,6 +116,11 @@ def value_after(c: Column | str, keyword: str, kind: str = "string", allowed: li
     at = keyword_at(c, keyword)
     rest = F.regexp_replace(F.substr(col(c), at + len(keyword)), r"^[ :\t#.\-]+", "")
     tail = F.when((at > 0) & (rest != ""), rest)
+    return typed_value(tail, kind, allowed)
+
+
+def typed_value(tail: Column, kind: str, allowed: list[str] | None = None) -> Column:
+    """The value at or near the beginning of what follows a keyword; null for none."""
     found = lambda pattern: F.nullif(F.trim(F.regexp_extract(tail, pattern, 1)), F.lit(""))
     if kind == "currency":
         return F.coalesce(found(SYMBOLED), found(VALUE_PATTERNS[kind]))
