@@ -7,7 +7,8 @@ are then read off its prefix sums. Where a bucket of the histogram itself is too
 documents get a finer histogram.
 
 Documents of one address that are too large together (rows that repeat a doc_id) can't be split by bits.
-They overflow into parts, numbered within each input partition, each within the limit.
+They overflow into parts, numbered within each input partition, each within the limit. A partition that is read
+again after an executor's loss gives the same rows the same parts; rows that are alike may change places.
 
 Cases: a null or empty text has 0 bytes; null doc_ids share an address; a single document over the limit
 is a shard of its own; an empty table gives no rows; further columns stay as they are, but for n_bytes,
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LIMIT = 64 << 20
+#: Of the query: small enough that its tables are split.
+QUERY_LIMIT = 1 << 20
 BITS = 60
 #: Bits of the histogram beyond what shards of even size would need, and of each finer one.
 FINER = 6
@@ -40,7 +43,7 @@ def prefix(bits: Column, depth: Column | int) -> Column:
 
 
 def assign(docs: DataFrame, limit: int = LIMIT, text: str = "text") -> DataFrame:
-    """docs with n_bytes long, depth int, prefix long (the address's first `depth` bits) and part int: a shard is (depth, prefix, part)."""
+    """docs with n_bytes long, depth int, prefix long (the address's first `depth` bits) and part long: a shard is (depth, prefix, part)."""
     docs = docs.drop("n_bytes", "depth", "prefix", "part")
     columns = docs.columns
     sized = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "_address": address(F.col("doc_id"))})
@@ -76,10 +79,10 @@ def assign(docs: DataFrame, limit: int = LIMIT, text: str = "text") -> DataFrame
         # Two neighbours in a chunk of half the limit each can't pass the limit.
         rest = rest.withColumn("_before", F.sum("n_bytes").over(here.rowsBetween(Window.unboundedPreceding, -1)))
         chunk = F.floor(F.coalesce("_before", F.lit(0)) / F.greatest(F.lit(1), F.lit(limit) - F.max("n_bytes").over(Window.partitionBy("_address", "_piece"))))
-        rest = rest.withColumn("part", (F.col("_piece") * 100_000 + chunk + 1).cast("int"))
-        out = out.where(~over).withColumn("part", F.lit(0)).unionByName(rest.drop("_piece", "_before"))
+        rest = rest.withColumn("part", F.col("_piece").cast("long") * 100_000 + chunk + 1)
+        out = out.where(~over).withColumn("part", F.lit(0).cast("long")).unionByName(rest.drop("_piece", "_before"))
     else:
-        out = out.withColumn("part", F.lit(0))
+        out = out.withColumn("part", F.lit(0).cast("long"))
     return out.select(*columns, "n_bytes", "depth", "prefix", "part")
 
 
@@ -96,7 +99,7 @@ def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return assign(docs).select("doc_id", name().alias("shard"), F.col("depth").cast("long").alias("depth"), "n_bytes", F.col("part").cast("long").alias("part"))
+    return assign(docs, QUERY_LIMIT).select("doc_id", name().alias("shard"), F.col("depth").cast("long").alias("depth"), "n_bytes", "part")
 
 
 OP9_SQL = f"""
@@ -109,7 +112,7 @@ s AS (
   FROM d, (SELECT CAST(unnest(range(0, {BITS} + 1)) AS BIGINT) AS k) GROUP BY ALL),
 leaf AS (
   SELECT d.a, min(s.k) AS depth FROM (SELECT DISTINCT a FROM d) d JOIN s ON d.a >> ({BITS} - s.k) = s.p
-  WHERE s.bytes <= {LIMIT} OR s.many <= 1 GROUP BY d.a)
+  WHERE s.bytes <= {QUERY_LIMIT} OR s.many <= 1 GROUP BY d.a)
 SELECT doc_id, CASE WHEN depth = 0 THEN 'all' ELSE lpad(ltrim(bin(a >> ({BITS} - depth)), '0'), CAST(depth AS INTEGER), '0') END AS shard,
   CAST(depth AS BIGINT) AS depth, n_bytes, CAST(0 AS BIGINT) AS part
 FROM d JOIN leaf USING (a)
