@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 import pyarrow as pa
@@ -24,10 +26,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there goes when the driver ends, if not before."""
     path = f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex}"
     fs, there = _hadoop(spark, path)
-    fs.deleteOnExit(there)
+    atexit.register(_delete, fs, there)
     return path
 
 
+def _delete(fs, there) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        fs.delete(there, True)
+
+
 def _hadoop(spark: SparkSession, path: str):
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
