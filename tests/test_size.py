@@ -38,3 +38,9 @@ def test_split_rows_as_split_row(spark):
     want = {r.i: r.m for r in df.select("i", X.split_row("t", cols).alias("m")).collect() if r.m is not None}
     assert {r.i: r.cells for r in X.split_rows(df, F.col("t"), cols).collect()} == want
     assert want[0] == {"line_number": "1", "what": "blue cup", "price": "$4.00"} and want[7] == {"what": "b"} and sorted(want) == [0, 1, 7, 8, 9, 10, 11]
+
+
+def test_open_tables_joins_no_pages(spark, sf_dir):
+    df = catalogue.QUERIES["open_tables"](spark, sf_dir)
+    assert "group_index" not in "".join(re.findall(r"(?:SortMergeJoin|BroadcastHashJoin) \[.*", plan(df)))
+    assert plan(df).count("split(") <= 2
