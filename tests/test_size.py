@@ -44,3 +44,8 @@ def test_open_tables_joins_no_pages(spark, sf_dir):
     df = catalogue.QUERIES["open_tables"](spark, sf_dir)
     assert "group_index" not in "".join(re.findall(r"(?:SortMergeJoin|BroadcastHashJoin) \[.*", plan(df)))
     assert plan(df).count("split(") <= 2
+
+
+def test_keyword_values_joins_no_pages_and_reads_places_once(spark, sf_dir):
+    df = catalogue.QUERIES["keyword_values"](spark, sf_dir)
+    assert not re.search(r"Join \[document_id", plan(df)) and len(re.findall(r"regexp_?instr\(", plan(df), re.I)) == 1
