@@ -49,3 +49,14 @@ def test_open_tables_joins_no_pages(spark, sf_dir):
 def test_keyword_values_joins_no_pages_and_reads_places_once(spark, sf_dir):
     df = catalogue.QUERIES["keyword_values"](spark, sf_dir)
     assert not re.search(r"Join \[document_id", plan(df)) and len(re.findall(r"regexp_?instr\(", plan(df), re.I)) == 1
+
+
+def test_own_claims_without_a_block_id_are_looked_for(spark):
+    from docweave.plans import extraction
+
+    blocks = spark.createDataFrame([(1, 1, 0, None, "Invoice No: A-1"), (1, 1, 1, "b1", "Total: $2.00")], "document_id long, page_number int, pos int, block_id string, text string")
+    groups = spark.createDataFrame([(1, 0, 1)], "document_id long, group_index int, page_number int")
+    kinds = "document_id long, group_index int, claim_no string, block_id string, quote string, value string, confidence double, found_page int"
+    claims = spark.createDataFrame([(1, 0, "a", None, "Invoice No: A-1", "A-1", 0.5, 1), (1, 0, "b", "b1", "Total: $2.00", "$2.00", 0.5, 1)], kinds)
+    got = {r.claim_no: (r.rung, r.status, r.page_number, r.found_block) for r in extraction.own_claims(claims, blocks, groups).collect()}
+    assert got == {"a": (3, "quote", 1, None), "b": (1, "exact", 1, "b1")}
