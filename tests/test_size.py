@@ -51,6 +51,17 @@ def test_keyword_values_joins_no_pages_and_reads_places_once(spark, sf_dir):
     assert not re.search(r"Join \[document_id", plan(df)) and len(re.findall(r"regexp_?instr\(", plan(df), re.I)) == 1
 
 
+def test_profiles_share_blocks_and_what_one_grouping_reads(spark, sf_dir, monkeypatch):
+    from docweave.plans import extraction
+    from docweave.sources import scratch
+
+    made, plain = [], scratch.materialise
+    for m in (scratch, extraction):
+        monkeypatch.setattr(m, "materialise", lambda df, name: (made.append(name), plain(df, name))[1])
+    got = {(r.profile, r.reason): (r.documents, r.groups) for r in catalogue.QUERIES["profile_exits"](spark, sf_dir).collect()}
+    assert made.count("blocks") == 1 and made.count("claims") == 2 and "attributed" not in made and got
+
+
 def test_own_claims_without_a_block_id_are_looked_for(spark):
     from docweave.plans import extraction
 
