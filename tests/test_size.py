@@ -71,3 +71,9 @@ def test_own_claims_without_a_block_id_are_looked_for(spark):
     claims = spark.createDataFrame([(1, 0, "a", None, "Invoice No: A-1", "A-1", 0.5, 1), (1, 0, "b", "b1", "Total: $2.00", "$2.00", 0.5, 1)], kinds)
     got = {r.claim_no: (r.rung, r.status, r.page_number, r.found_block) for r in extraction.own_claims(claims, blocks, groups).collect()}
     assert got == {"a": (3, "quote", 1, None), "b": (1, "exact", 1, "b1")}
+
+
+@pytest.mark.parametrize("name", ["reading_order"])
+def test_partitions_follow_the_input(spark, sf_dir, name):
+    df = catalogue.QUERIES[name](spark, sf_dir)
+    assert count(df, "Exchange") == 1 and plan(df).count("REPARTITION_BY_NUM") == 1
