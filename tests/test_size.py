@@ -73,7 +73,7 @@ def test_own_claims_without_a_block_id_are_looked_for(spark):
     assert got == {"a": (3, "quote", 1, None), "b": (1, "exact", 1, "b1")}
 
 
-@pytest.mark.parametrize("name", ["reading_order"])
+@pytest.mark.parametrize("name", ["term_stats", "reading_order"])
 def test_partitions_follow_the_input(spark, sf_dir, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
     assert count(df, "Exchange") == 1 and plan(df).count("REPARTITION_BY_NUM") == 1
