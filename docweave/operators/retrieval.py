@@ -25,18 +25,22 @@ def query_terms(spark: SparkSession, queries: dict[str, str], hints: dict[str, s
     return spark.createDataFrame(rows, "field string, region string, token string, qtf long")
 
 
-def term_stats(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (document_id, page_number, token, tf, df) and page lengths (document_id, page_number, n_tokens, n_pages, mean_tokens)."""
+def term_stats(pages: DataFrame, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (document_id, page_number, token, tf, df) and page lengths (document_id, page_number, n_tokens, n_pages, mean_tokens);
+    postings of all tokens, or of those of `words` (token), a short table: their numbers are the same, and the rest isn't counted."""
     tokens = pages.select("document_id", "page_number", X.tokens("text").alias("ts"))
     doc = Window.partitionBy("document_id")
     lengths = tokens.select("document_id", "page_number", F.size("ts").alias("n_tokens"), F.count(F.lit(1)).over(doc).alias("n_pages"), F.avg(F.size("ts")).over(doc).alias("mean_tokens"))
-    tf = tokens.select("document_id", "page_number", F.explode("ts").alias("token")).groupBy("document_id", "page_number", "token").agg(F.count(F.lit(1)).alias("tf"))
+    every = tokens.select("document_id", "page_number", F.explode("ts").alias("token"))
+    if words is not None:
+        every = every.join(F.broadcast(words.select("token").distinct()), "token", "left_semi")
+    tf = every.groupBy("document_id", "page_number", "token").agg(F.count(F.lit(1)).alias("tf"))
     return tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("document_id", "token"))), lengths
 
 
 def bm25(pages: DataFrame, terms: DataFrame) -> DataFrame:
     """document_id, page_number, field, lexical; pages that hold none of a field's words have no row."""
-    postings, lengths = term_stats(pages)
+    postings, lengths = term_stats(pages, terms)
     x = postings.join(F.broadcast(terms), "token").join(lengths, ["document_id", "page_number"])
     idf = F.log(1 + (F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = F.when(F.col("mean_tokens") > 0, F.col("mean_tokens")).otherwise(1.0)

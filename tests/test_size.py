@@ -77,3 +77,9 @@ def test_own_claims_without_a_block_id_are_looked_for(spark):
 def test_partitions_follow_the_input(spark, sf_dir, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
     assert count(df, "Exchange") == 1 and plan(df).count("REPARTITION_BY_NUM") == 1
+
+
+@pytest.mark.parametrize("name", ["bm25_pages", "page_rank_topk", "group_rank", "field_explain"])
+def test_ranking_counts_only_words_that_are_asked_for(spark, sf_dir, name):
+    text = plan(catalogue.QUERIES[name](spark, sf_dir))
+    assert "LeftSemi" in text and "REPARTITION_BY_NUM" in text
