@@ -83,3 +83,8 @@ def test_partitions_follow_the_input(spark, sf_dir, name):
 def test_ranking_counts_only_words_that_are_asked_for(spark, sf_dir, name):
     text = plan(catalogue.QUERIES[name](spark, sf_dir))
     assert "LeftSemi" in text and "REPARTITION_BY_NUM" in text
+
+
+def test_dealt_by_a_given_size(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    assert parts.dealt(df, "doc_id", size=parts.PART * 30).rdd.getNumPartitions() == 30
