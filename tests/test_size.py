@@ -88,3 +88,30 @@ def test_ranking_counts_only_words_that_are_asked_for(spark, sf_dir, name):
 def test_dealt_by_a_given_size(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     assert parts.dealt(df, "doc_id", size=parts.PART * 30).rdd.getNumPartitions() == 30
+
+
+def test_attribution_ladder_shuffles_tables_once(spark, sf_dir):
+    """What is dealt by document stays there: orders, rows and customers are shuffled, claims and blocks are not."""
+    df = catalogue.QUERIES["attribution_ladder"](spark, sf_dir)
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan(df))) <= {"l_orderkey", "o_orderkey", "o_custkey", "c_custkey"} and count(df, "SortMergeJoin") == 0
+    whole = [s for s in re.findall(r"FileScan parquet \[(.*?)\].*?PushedFilters: (\[.*?\])", plan(df)) if "l_partkey" in s[0]]
+    assert len(whole) > 1 and len({filters for _, filters in whole}) == 1  # one shuffle, used again
+
+
+def test_looked_up_as_a_left_join(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, None, 3), (2, "b", 4), (None, "a", 5)], "k long, s string, n int")
+    other = spark.createDataFrame([(1, "a", 7), (1, "a", 5), (1, None, 1), (3, "b", 2), (None, "a", 3)], "k long, s string, _value int")
+    got = parts.looked_up(df, other, ["k", "s"], F.min, "least")
+    assert got.columns == ["k", "s", "n", "least"] and {r.n: r.least for r in got.collect()} == {1: 5, 2: 5, 3: None, 4: None, 5: None}
+
+
+def test_ladder_of_overlapping_groups_and_repeated_ids(spark):
+    from docweave.operators import attribution
+
+    blocks = spark.createDataFrame([(1, 1, 0, "a", "first total due"), (1, 2, 0, "a", "second total due"), (1, 2, 1, None, "Other-text, total"), (1, 3, 0, "c", None), (1, None, 0, "d", "no page")], "document_id long, page_number int, pos int, block_id string, text string")
+    groups = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 1, 2), (1, 1, 2), (1, 1, 3)], "document_id long, group_index int, page_number int")
+    kinds = "document_id long, group_index int, claim_no string, block_id string, quote string, value string, confidence double"
+    claims = [(1, 0, "id", "a", None, None, 1.0), (1, 1, "id", "a", "first total due", None, 1.0), (1, 0, "far", "c", None, None, 1.0), (1, 0, "lost", "d", None, None, None), (1, 1, "words", None, "total, OTHER text", None, 1.0), (1, 1, "out", "", "first total due", "first", 1.0), (1, 7, "none", "a", "total due", None, 1.0), (2, 0, "none", "a", "total due", None, 1.0)]
+    got = {tuple(r)[:3]: (r.rung, r.page_number, r.found_block) for r in attribution.attribute(spark.createDataFrame(claims, kinds), blocks, groups).collect()}
+    want = [(1, 1, "a"), (1, 2, "a"), (2, 3, "c"), (2, None, "d"), (4, 2, None), (None, None, None), (2, 1, "a"), (None, None, None)]
+    assert got == {c[:3]: w for c, w in zip(claims, want, strict=True)}
