@@ -115,3 +115,8 @@ def test_ladder_of_overlapping_groups_and_repeated_ids(spark):
     got = {tuple(r)[:3]: (r.rung, r.page_number, r.found_block) for r in attribution.attribute(spark.createDataFrame(claims, kinds), blocks, groups).collect()}
     want = [(1, 1, "a"), (1, 2, "a"), (2, 3, "c"), (2, None, "d"), (4, 2, None), (None, None, None), (2, 1, "a"), (None, None, None)]
     assert got == {c[:3]: w for c, w in zip(claims, want, strict=True)}
+
+
+def test_claim_merge_shuffles_no_claims(spark, sf_dir):
+    df = catalogue.QUERIES["claim_merge"](spark, sf_dir)
+    assert not re.search(r"Exchange hashpartitioning\((?:document_id|claim_no)#", plan(df)) and count(df, "SortMergeJoin") == 0
