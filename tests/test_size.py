@@ -120,3 +120,8 @@ def test_ladder_of_overlapping_groups_and_repeated_ids(spark):
 def test_claim_merge_shuffles_no_claims(spark, sf_dir):
     df = catalogue.QUERIES["claim_merge"](spark, sf_dir)
     assert not re.search(r"Exchange hashpartitioning\((?:document_id|claim_no)#", plan(df)) and count(df, "SortMergeJoin") == 0
+
+
+def test_citation_precision_shuffles_only_counts(spark, sf_dir):
+    df = catalogue.QUERIES["citation_precision"](spark, sf_dir)
+    assert not re.search(r"Exchange hashpartitioning\((?:document_id|claim_no)#", plan(df)) and count(df, "SortMergeJoin") == 0 and plan(df).count("Exchange SinglePartition") == 1
