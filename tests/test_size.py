@@ -1,5 +1,6 @@
 """Plans and partitions of queries whose cost or memory grew faster than their input."""
 
+import os
 import re
 
 import pytest
@@ -125,3 +126,20 @@ def test_claim_merge_shuffles_no_claims(spark, sf_dir):
 def test_citation_precision_shuffles_only_counts(spark, sf_dir):
     df = catalogue.QUERIES["citation_precision"](spark, sf_dir)
     assert not re.search(r"Exchange hashpartitioning\((?:document_id|claim_no)#", plan(df)) and count(df, "SortMergeJoin") == 0 and plan(df).count("Exchange SinglePartition") == 1
+
+
+def shuffled_by_stage(spark):
+    """Bytes that stages wrote for shuffles, by the stage's id; of many stages Spark keeps the last."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    none = jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("name", ["claim_merge"])
+def test_attribution_shuffles_a_few_times_its_input(spark, sf_dir, name):
+    read = sum(os.path.getsize(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer"))
+    before = shuffled_by_stage(spark)
+    catalogue.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    assert 0 < sum(n for stage, n in shuffled_by_stage(spark).items() if stage not in before) < 4 * read
