@@ -137,7 +137,7 @@ def shuffled_by_stage(spark):
     return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
 
 
-@pytest.mark.parametrize("name", ["claim_merge"])
+@pytest.mark.parametrize("name", ["claim_merge", "citation_precision"])
 def test_attribution_shuffles_a_few_times_its_input(spark, sf_dir, name):
     read = sum(os.path.getsize(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer"))
     before = shuffled_by_stage(spark)
